@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import knn, tokens
+from tracklake.llm import capping, knn, lookalike, terms, tokens
+from tracklake.operators.skew import salted_join
 from tracklake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,15 +35,95 @@ def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.join(found, ["space", "entity_id", "neighbour_id"], "left").groupBy("space").agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count(F.lit(1)), 4).alias("recall"))
 
 
+def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = table(spark, sf_dir, "challenges").select("query_id", F.lower("title").alias("title"))
+    title = terms.frequencies(titles, "query_id", "title", separator=" ")
+    count = terms.frequencies(table(spark, sf_dir, "tracks"), "track_id", "n_playlists")
+    return title.withColumn("field", F.lit("title")).unionByName(count.withColumn("field", F.lit("n_playlists")))
+
+
+def p3_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frequencies(spark, sf_dir).select("field", "value", "n_occurrences", "n_records", "is_rare", "is_common")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.marks(_frequencies(spark, sf_dir), "field")
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, artist_uri, track_id, score, max_per_artist) of the fused candidates of queries with a cap."""
+    caps = table(spark, sf_dir, "intents").where("max_per_artist IS NOT NULL").groupBy("query_id").agg(F.min("max_per_artist").alias("max_per_artist"))
+    artists = table(spark, sf_dir, "tracks").where("artist_uri IS NOT NULL").groupBy("track_id").agg(F.min("artist_uri").alias("artist_uri"))
+    fused = table(spark, sf_dir, "candidates").where("channel = 'fused'").groupBy("query_id", "track_id").agg(F.max("score").alias("score"))
+    capped = salted_join(fused, caps, ["query_id"], [F.col("track_id")])
+    return salted_join(capped, artists, ["track_id"], [F.col("query_id")])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = capping.over_cap(_fused(spark, sf_dir), ["query_id", "artist_uri"], "max_per_artist", "track_id", "score")
+    return gone.select("query_id", F.col("track_id").cast("int").alias("track_id"))
+
+
+def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused list of every query after its cap."""
+    fused = table(spark, sf_dir, "candidates").where("channel = 'fused'").groupBy("query_id", "track_id").agg(F.max("score").alias("score"), F.min("rank").alias("rank"))
+    return fused.join(p4_found(spark, sf_dir), ["query_id", "track_id"], "left_anti")
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = lookalike.records(table(spark, sf_dir, "challenges"), "title", "query_id", "title")
+    return title.unionByName(lookalike.records(table(spark, sf_dir, "tracks"), "name", "track_id", "name"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = lookalike.same_look_pairs(_named(spark, sf_dir))
+    return pairs.select("field", F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
+
+
+def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.canonical(_named(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p7_ids)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p3_found, p3_frequencies, p4_found, p4_kept, p5_found, p5_canonical, p7_ids)}
+
 
+FREQUENCIES = """
+        WITH titles AS (SELECT query_id, min(title) AS title FROM challenges WHERE title IS NOT NULL GROUP BY query_id),
+        words AS (SELECT query_id AS k, unnest(string_split(lower(title), ' ')) AS value FROM titles),
+        counted AS (SELECT track_id AS k, CAST(min(n_playlists) AS VARCHAR) AS value FROM tracks WHERE n_playlists IS NOT NULL GROUP BY track_id),
+        freq AS (
+            SELECT 'title' AS field, value, count(*) AS n_occurrences, count(DISTINCT k) AS n_records, (SELECT count(*) FROM titles) AS n FROM words WHERE value <> '' GROUP BY value
+            UNION ALL
+            SELECT 'n_playlists', value, count(*), count(DISTINCT k), (SELECT count(*) FROM counted) FROM counted GROUP BY value
+        )"""
 
 SQL = {
+    "p3_found": FREQUENCIES
+    + " SELECT field, value, 'rare' AS mark FROM freq WHERE n_records < 3 UNION ALL SELECT field, value, 'common' FROM freq WHERE n_records * 100 > 7 * n",
+    "p3_frequencies": FREQUENCIES + " SELECT field, value, n_occurrences, n_records, n_records < 3 AS is_rare, n_records * 100 > 7 * n AS is_common FROM freq",
+    "p4_found": """
+        WITH fused AS (SELECT query_id, track_id, max(score) AS score FROM candidates WHERE channel = 'fused' GROUP BY query_id, track_id),
+        caps AS (SELECT query_id, min(max_per_artist) AS m FROM intents WHERE max_per_artist IS NOT NULL GROUP BY query_id),
+        artists AS (SELECT track_id, min(artist_uri) AS artist_uri FROM tracks WHERE artist_uri IS NOT NULL GROUP BY track_id),
+        ranked AS (
+            SELECT query_id, track_id, m, row_number() OVER (PARTITION BY query_id, artist_uri ORDER BY score DESC NULLS LAST, track_id) AS r
+            FROM fused JOIN caps USING (query_id) JOIN artists USING (track_id)
+        )
+        SELECT query_id, track_id FROM ranked WHERE r > m""",
+    "p4_kept": """
+        WITH fused AS (SELECT query_id, track_id, max(score) AS score, min(rank) AS rank FROM candidates WHERE channel = 'fused' GROUP BY query_id, track_id),
+        caps AS (SELECT query_id, min(max_per_artist) AS m FROM intents WHERE max_per_artist IS NOT NULL GROUP BY query_id),
+        artists AS (SELECT track_id, min(artist_uri) AS artist_uri FROM tracks WHERE artist_uri IS NOT NULL GROUP BY track_id),
+        ranked AS (
+            SELECT query_id, track_id, score, rank, m, artist_uri, row_number() OVER (PARTITION BY query_id, artist_uri ORDER BY score DESC NULLS LAST, track_id) AS r
+            FROM fused LEFT JOIN caps USING (query_id) LEFT JOIN artists USING (track_id)
+        )
+        SELECT query_id, track_id, score, rank FROM ranked WHERE m IS NULL OR artist_uri IS NULL OR r <= m""",
     "p2_found": """
         WITH live AS (
             SELECT space, entity_id, min(v) AS v FROM vectors WHERE v IS NOT NULL AND list_sum(list_transform(v, lambda x: x * x)) > 0 GROUP BY space, entity_id
