@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklake.operators.skew import heavy_keys, salted_join
 from tracklake.session import checkpointed
@@ -35,7 +36,7 @@ WAYS, SALTS, HOT_SHARE = 16, 64, 0.001
 def ordered_key(df: DataFrame, score: str = "score") -> DataFrame:
     """``df`` with ``score`` replaced by ``key``: a long in the order of the scores, null and NaN lowest."""
     names = [c for c in df.columns if c != score]
-    schema = df.select(*names).schema.add("key", "long", False)
+    schema = df.select(*names).schema.add("key", T.LongType(), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -208,13 +208,28 @@ def tail(model: NullModel, n_a: np.ndarray, n_b: np.ndarray, n_ab: np.ndarray) -
 
 def _tails(q: np.ndarray, m: np.ndarray, mean: np.ndarray, k: np.ndarray) -> np.ndarray:
     odds = q / (1 - q)
-    top = int(k.max()) + TAIL_TERMS
-    # t P(t) = sum over i of (-1)^(i-1) S_i P(t-i), S_i the power sums of the odds; terms fall off as max(odds)^i.
-    worst = odds.max()
-    terms = top if worst >= 0.5 else min(top, max(4, int(np.ceil(np.log(1e-18) / np.log(max(worst, 1e-18)))) + 1))
+    top = int(k.max()) + TAIL_TERMS + int(10 * np.sqrt(mean.max()))
+    p, scale = np.zeros((len(q), top + 1)), (m * np.log1p(-q)).sum(1)
+    steep = odds.max(1) >= 0.4
+    gentle = ~steep
+    if gentle.any():
+        p[gentle], scale[gentle] = _recurrence(odds[gentle], m, scale[gentle], top)
+    for i in np.flatnonzero(steep):
+        p[i], scale[i] = _convolved(q[i], m[0], top), 0.0
+    with np.errstate(over="ignore", under="ignore"):
+        up = np.array([row[c:].sum() for row, c in zip(p, k, strict=True)])
+        low = np.array([row[:c].sum() for row, c in zip(p, k, strict=True)])
+        above = np.exp(np.minimum(scale + np.log(np.maximum(up, 1e-300)), 0))
+        below = np.exp(np.minimum(scale + np.log(np.maximum(low, 1e-300)), 0))
+    return np.clip(np.where(k > mean, np.where(up > 0, above, 0), 1 - below), 0, 1)
+
+
+def _recurrence(odds: np.ndarray, m: np.ndarray, scale: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """t P(t) = sum over i of (-1)^(i-1) S_i P(t-i), S_i the power sums of the odds, which fall off as max(odds)^i."""
+    worst = max(odds.max(), 1e-18)
+    terms = min(top, max(4, int(np.ceil(np.log(1e-18) / np.log(worst))) + 1))
     sums = np.stack([(m * odds**i).sum(1) * (-1) ** (i - 1) for i in range(1, terms + 1)], 1)
-    p = np.zeros((len(q), top + 1))
-    scale = (m * np.log1p(-q)).sum(1)
+    p, scale = np.zeros((len(odds), top + 1)), scale.copy()
     p[:, 0] = 1.0
     for t in range(1, top + 1):
         back = min(t, terms)
@@ -223,12 +238,21 @@ def _tails(q: np.ndarray, m: np.ndarray, mean: np.ndarray, k: np.ndarray) -> np.
         if big.any():
             p[big, : t + 1] *= 1e-200
             scale[big] += 200 * np.log(10)
-    with np.errstate(over="ignore", under="ignore"):
-        up = np.array([row[c : c + TAIL_TERMS].sum() for row, c in zip(p, k, strict=True)])
-        low = np.array([row[:c].sum() for row, c in zip(p, k, strict=True)])
-        above = up * np.exp(np.minimum(scale, 700))
-        below = np.exp(scale + np.log(np.maximum(low, 1e-300)))
-    return np.clip(np.where(k > mean, above, 1 - below), 0, 1)
+    return p, scale
+
+
+def _convolved(q: np.ndarray, m: np.ndarray, top: int) -> np.ndarray:
+    """The law as a product of the binomials of the size classes, cut after ``top``; for odds too large for the recurrence."""
+    p = np.zeros(top + 1)
+    p[0] = 1.0
+    for a, n in zip(q, m, strict=True):
+        if a <= 0 or n <= 0:
+            continue
+        x = np.arange(1, min(int(n), top) + 1)
+        steps = np.log((n - x + 1) / x) + np.log(a / (1 - a))
+        law = np.exp(n * np.log1p(-a) + np.append(0.0, np.cumsum(steps)))
+        p = np.convolve(p, law)[: top + 1]
+    return p
 
 
 def surprise(bags: DataFrame, min_count: int = 5, alpha: float = 0.01) -> DataFrame:

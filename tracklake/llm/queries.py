@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import capping, knn, lookalike, terms, tokens
+from tracklake.llm import capping, knn, lookalike, mixing, pairs, splitting, terms, tokens
 from tracklake.operators.skew import salted_join
 from tracklake.session import table
 
@@ -88,8 +88,61 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.baskets(table(spark, sf_dir, "sequences"), "pid", "tracks")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    together = pairs.surprise(_bags(spark, sf_dir), min_count=5)
+    return together.where("npmi >= 0.75").select(F.col("item_a").alias("track_a"), F.col("item_b").alias("track_b"))
+
+
+def p6_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of at least five playlists with their counts, surprise under the null model, and track_uri."""
+    together = pairs.surprise(_bags(spark, sf_dir), min_count=5)
+    uris = table(spark, sf_dir, "tracks").groupBy("track_id").agg(F.min("track_uri").alias("uri"))
+    a = uris.select(F.col("track_id").alias("item_a"), F.col("uri").alias("track_uri_a"))
+    b = uris.select(F.col("track_id").alias("item_b"), F.col("uri").alias("track_uri_b"))
+    named = salted_join(salted_join(together, a, ["item_a"], [F.col("item_b")], "left"), b, ["item_b"], [F.col("item_a")], "left")
+    return named.select(
+        F.col("item_a").alias("track_a"), F.col("item_b").alias("track_b"), "track_uri_a", "track_uri_b", "n_ab", "n_a", "n_b", F.round("npmi", 6).alias("npmi"), "expected", F.round(-F.log10(F.greatest("p_value", F.lit(1e-300))), 4).alias("surprise"), "significant"
+    )
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact pair counts, of pairs in at least two playlists."""
+    return pairs.pair_counts(_bags(spark, sf_dir), 2).select(F.col("item_a").alias("track_a"), F.col("item_b").alias("track_b"), "n_ab")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = tokens.with_token_count(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixing.mix(docs, table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned, mixed = _mixed(spark, sf_dir)
+    return mixing.shares(planned, mixed).where("is_short").select("source")
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1].withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mixed(spark, sf_dir))
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", limit=512, overlap=64)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that had to be cut: more than 512 tokens, so more than one piece."""
+    return p9_pieces(spark, sf_dir).where("piece = 0 AND doc_tokens > 512").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p3_found, p3_frequencies, p4_found, p4_kept, p5_found, p5_canonical, p7_ids)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p3_found, p3_frequencies, p4_found, p4_kept, p5_found, p5_canonical, p6_found, p6_surprise, p6_counts, p7_ids, p8_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
 
 
 FREQUENCIES = """
@@ -102,7 +155,17 @@ FREQUENCIES = """
             SELECT 'n_playlists', value, count(*), count(DISTINCT k), (SELECT count(*) FROM counted) FROM counted GROUP BY value
         )"""
 
+HELD = """
+        WITH baskets AS (SELECT pid, list_distinct(flatten(list(tracks))) AS items FROM sequences WHERE pid IS NOT NULL AND len(tracks) > 0 GROUP BY pid),
+        held AS (SELECT pid, unnest(items) AS item FROM baskets),
+        counts AS (SELECT a.item AS track_a, b.item AS track_b, count(*) AS n_ab FROM held a JOIN held b ON a.pid = b.pid AND a.item < b.item GROUP BY 1, 2)"""
+
 SQL = {
+    "p6_counts": HELD + " SELECT track_a, track_b, n_ab FROM counts WHERE n_ab >= 2",
+    "p6_found": HELD
+    + """, support AS (SELECT item, count(*) AS n FROM held GROUP BY item), total AS (SELECT count(*) AS n FROM baskets)
+        SELECT track_a, track_b FROM counts JOIN support a ON a.item = track_a JOIN support b ON b.item = track_b, total
+        WHERE n_ab >= 5 AND (n_ab = total.n OR ln(n_ab * CAST(total.n AS DOUBLE) / (a.n * b.n)) / -ln(n_ab / CAST(total.n AS DOUBLE)) >= 0.75)""",
     "p3_found": FREQUENCIES
     + " SELECT field, value, 'rare' AS mark FROM freq WHERE n_records < 3 UNION ALL SELECT field, value, 'common' FROM freq WHERE n_records * 100 > 7 * n",
     "p3_frequencies": FREQUENCIES + " SELECT field, value, n_occurrences, n_records, n_records < 3 AS is_rare, n_records * 100 > 7 * n AS is_common FROM freq",

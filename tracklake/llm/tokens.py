@@ -36,7 +36,6 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHE_SLICES = 200_000
 #: Characters that one scan works on at a time, unless a single text is longer.
 SCAN_CHARS = 1_000_000
-BLOCK = 256
 
 # Symbols of the transducer.
 LETTER, NUMBER, OTHER, MARK1, MARK2, JOIN, LONE, INNER, RESET = range(9)
@@ -117,24 +116,25 @@ def scan(symbol: np.ndarray) -> np.ndarray:
     n = len(symbol)
     if n == 0:
         return np.zeros(0, np.uint8)
-    rows = -(-n // BLOCK)
-    grid = np.full(rows * BLOCK, RESET, np.uint8)
+    block = min(1024, max(16, int(n**0.5)))
+    rows = -(-n // block)
+    grid = np.full(rows * block, RESET, np.uint8)
     grid[:n] = symbol
-    grid = grid.reshape(rows, BLOCK)
+    grid = np.ascontiguousarray(grid.reshape(rows, block).T)
     function = np.tile(np.arange(8, dtype=np.uint8), (rows, 1))
-    for j in range(BLOCK):
-        function = NEXT[grid[:, j, None], function]
+    for j in range(block):
+        function = NEXT[grid[j, :, None], function]
     entry = np.zeros(rows, np.uint8)
     state = FREE
     for r, f in enumerate(function.tolist()):
         entry[r] = state
         state = f[state]
-    out = np.empty((rows, BLOCK), np.uint8)
+    out = np.empty((block, rows), np.uint8)
     now = entry
-    for j in range(BLOCK):
-        out[:, j] = now
-        now = NEXT[grid[:, j], now]
-    return out.reshape(-1)[:n]
+    for j in range(block):
+        out[j] = now
+        now = NEXT[grid[j], now]
+    return out.T.reshape(-1)[:n]
 
 
 def slice_starts(texts: list[str]) -> list[np.ndarray]:
