@@ -1,43 +1,14 @@
-"""Registered queries over the catalog tables and the SQL that checks them."""
+"""Results by artist over the catalog tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklake.operators.heavy import at_least_share, per_key
+from tracklake.plans.registry import query
 from tracklake.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its own name, with the SQL that must give the same rows."""
-
-    def add(f: Query) -> Query:
-        REGISTRY[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_artist_rows(spark, sf_dir)
-
-
-def queries() -> dict[str, Query]:
-    return dict(REGISTRY)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
 
 @query("SELECT artist_uri FROM entries WHERE artist_uri IS NOT NULL GROUP BY artist_uri HAVING count(*) * 1000 >= 15 * (SELECT count(*) FROM entries)")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
