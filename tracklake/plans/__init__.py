@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracklake.plans.registry import QUERIES, SQL, Query
 
-MODULES = ("artist_queries", "build_queries")
+MODULES = ("artist_queries", "build_queries", "retrieve_queries", "metric_queries")
 
 
 def _load() -> None:

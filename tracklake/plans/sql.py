@@ -26,22 +26,22 @@ def norm(x: str) -> str:
     return rf"trim(regexp_replace(replace({kept}, '&', ' and '), '\s+', ' ', 'g'))"
 
 
-def tokens(source: str, key: str, x: str, most: int = 6) -> str:
-    """CTEs ending in ``tok(key, place, token)``: the first ``most`` tokens of text ``x`` of each row of ``source``."""
+def tokens(source: str, key: str, x: str, most: int = 6, name: str = "tok") -> str:
+    """CTEs ending in ``name(key, place, token)``: the first ``most`` tokens of text ``x`` of each row of ``source``."""
     stop = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
     decade = "CASE WHEN length(d) = 4 THEN d || 's' WHEN d IN ('50', '60', '70', '80', '90') THEN '19' || d || 's' WHEN d IN ('00', '10', '20') THEN '20' || d || 's' END"
     return rf"""
-        raw AS (
+        raw_{name} AS (
             SELECT {key} AS key, list_filter(string_split({norm(f"coalesce({x}, '')")}, ' '), lambda w: length(w) >= 2) AS w,
                 list_filter(list_transform(regexp_extract_all(lower(coalesce({x}, '')), '\b((?:19|20)?[0-9]0)''?s\b', 1), lambda d: {decade}), lambda d: d IS NOT NULL) AS d,
                 list_transform(regexp_extract_all(lower(coalesce({x}, '')), '\b(19[5-9][0-9]|20[0-2][0-9])\b', 1), lambda y: y[1:3] || '0s') AS y FROM {source}
         ),
-        listed AS (
+        listed_{name} AS (
             SELECT key, list_concat(list_concat(d, y), list_concat(
                 list_filter(w, lambda a: NOT list_contains({stop}, a) AND NOT regexp_full_match(a, '[0-9]+')),
                 list_transform(list_filter(range(1, len(w)), lambda i: NOT (list_contains({stop}, w[i]) AND list_contains({stop}, w[i + 1])) AND NOT (regexp_full_match(w[i], '[0-9]+') AND regexp_full_match(w[i + 1], '[0-9]+'))), lambda i: w[i] || ' ' || w[i + 1])
-            )) AS l FROM raw
+            )) AS l FROM raw_{name}
         ),
-        spread AS (SELECT key, unnest(l) AS token, generate_subscripts(l, 1) AS i FROM listed),
-        firsts AS (SELECT key, token, min(i) AS i FROM spread GROUP BY 1, 2),
-        tok AS (SELECT key, token, place FROM (SELECT key, token, row_number() OVER (PARTITION BY key ORDER BY i) - 1 AS place FROM firsts) WHERE place < {most})"""
+        spread_{name} AS (SELECT key, unnest(l) AS token, generate_subscripts(l, 1) AS i FROM listed_{name}),
+        firsts_{name} AS (SELECT key, token, min(i) AS i FROM spread_{name} GROUP BY 1, 2),
+        {name} AS (SELECT key, token, place FROM (SELECT key, token, row_number() OVER (PARTITION BY key ORDER BY i) - 1 AS place FROM firsts_{name}) WHERE place < {most})"""
