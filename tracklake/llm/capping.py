@@ -1,9 +1,9 @@
 """At most a given number of records per contributor, the best by score.
 
 Parallel bisection. Every contributor with more records than its cap has bounds on the key of its first record
-beyond the cap. One pass counts, for all contributors together, the records at or above sixteen evenly spaced
-keys between the bounds (native conditional sums, combined map-side) and narrows each bound to one sixteenth.
-A contributor is settled when a key separates exactly its cap, or when its bounds have met on one score; the
+beyond the cap. One pass counts, for all contributors together, the records between evenly spaced midpoints of
+the bounds (native counts, combined map-side), moves the bounds to the cell that holds the first record too
+many, and snaps them to the records in it. A contributor is settled when a key separates exactly its cap, or when its bounds have met on one score; the
 ties on that score are then resolved by the same bisection over identifiers. Each pass leaves out settled
 contributors and all records outside the bounds. No contributor is ever sorted or held in one task: those with
 more than HOT_SHARE of the rows are spread over SALTS parts.
@@ -23,14 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklake.operators.skew import heavy_keys, salted_join
 from tracklake.session import checkpointed
 
-WAYS, SALTS, HOT_SHARE = 16, 64, 0.001
+WAYS, SALTS, HOT_SHARE = 64, 64, 0.001
 
 
 def ordered_key(df: DataFrame, score: str = "score") -> DataFrame:
@@ -50,10 +50,18 @@ def ordered_key(df: DataFrame, score: str = "score") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _cell() -> Column:
+    """Cell 0 to WAYS of ``key`` between ``lo`` and ``hi``: rises with the key, tells lo from hi, cannot overflow."""
+    half = F.shiftright("hi", 1) - F.shiftright("lo", 1)
+    near = half < WAYS // 2
+    return F.when(near, F.col("key") - F.when(near, F.col("lo")).otherwise(F.col("key"))).otherwise(F.expr(f"(shiftright(key, 1) - shiftright(lo, 1)) div (({WAYS} + shiftright(hi, 1) - shiftright(lo, 1)) div {WAYS})"))
+
+
 def _cutoffs(rows: DataFrame, group: list[str], wanted: DataFrame) -> DataFrame:
     """(group, cut, ties): records with key > cut stay; of those equal to cut, the first ``ties`` by identifier.
 
     ``rows`` has (group, key, id), ``wanted`` (group, want) for groups of more than ``want`` rows, want >= 0.
+    Kept true in every pass: ``above`` records lie above hi, at most ``want``; more than ``want`` lie at or above lo.
     """
     hot = F.broadcast(heavy_keys(rows, group, HOT_SHARE).withColumn("__hot", F.lit(True)))
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -63,30 +71,20 @@ def _cutoffs(rows: DataFrame, group: list[str], wanted: DataFrame) -> DataFrame:
     state = checkpointed(bounds.join(wanted, group).withColumn("above", F.lit(0).cast("long")))
     done: list[DataFrame] = []
     while True:
-        done.append(state.where("want = above OR lo = hi").select(*group, F.when(F.col("want") == F.col("above"), F.col("hi")).otherwise(F.col("lo")).alias("cut"), (F.col("want") - F.col("above")).alias("ties")))
-        active = state.where("want > above AND lo < hi").withColumn("__width", F.shiftright("hi", 4) - F.shiftright("lo", 4) + 1)
+        met = F.col("want") == F.col("above")
+        done.append(state.where("want = above OR lo = hi").select(*group, F.when(met, F.col("hi")).otherwise(F.col("lo")).alias("cut"), (F.col("want") - F.col("above")).alias("ties")))
+        active = state.where("want > above AND lo < hi")
         if active.isEmpty():
             break
-        marks = [F.expr(f"try_add(lo, try_multiply({j}L, __width))") for j in range(1, WAYS)]
-        each = active.withColumns({f"__m{j}": m for j, m in enumerate(marks, 1)}).withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        each = active.withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
         inside = held.drop("__hot").join(each, [*group, "__salt"]).where(F.col("key").between(F.col("lo"), F.col("hi")))
-        counts = inside.groupBy(*group).agg(*[F.sum(F.when(F.col("key") >= F.col(f"__m{j}"), 1).otherwise(0)).alias(f"__c{j}") for j in range(1, WAYS)])
-        joined = active.withColumns({f"__m{j}": m for j, m in enumerate(marks, 1)}).join(counts, group)
-        reach = [F.col("above") + F.coalesce(F.col(f"__c{j}"), F.lit(0)) for j in range(1, WAYS)]
-        # The highest mark that still has more than `want` records at or above it; none: the lowest cell.
-        cell = F.coalesce(*[F.when(r > F.col("want"), F.lit(j)) for j, r in reversed(list(enumerate(reach, 1)))], F.lit(0))
-        low = F.array(F.col("lo"), *[F.col(f"__m{j}") for j in range(1, WAYS)])
-        next_mark = F.array(*[F.col(f"__m{j}") for j in range(1, WAYS)], F.lit(None).cast("long"))
-        next_reach = F.array(*reach, F.col("above"))
-        step = joined.withColumn("__cell", cell).select(
-            *group,
-            F.get(low, F.col("__cell")).alias("lo"),
-            F.least("hi", F.get(next_mark, F.col("__cell")) - 1).alias("hi"),
-            "__hot",
-            "want",
-            F.get(next_reach, F.col("__cell")).alias("above"),
+        cells = inside.groupBy(*group, _cell().alias("cell")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("want").alias("want"), F.first("above").alias("above"), F.first("__hot").alias("__hot")
         )
-        state = checkpointed(step)
+        # At most WAYS + 1 rows a group: the cell that holds the first record beyond the cap, and what lies above it.
+        upto = cells.withColumn("upto", F.col("above") + F.sum("n").over(Window.partitionBy(*group).orderBy(F.desc("cell"))))
+        crossing = upto.where((F.col("upto") > F.col("want")) & (F.col("upto") - F.col("n") <= F.col("want")))
+        state = checkpointed(crossing.select(*group, "lo", "hi", "__hot", "want", (F.col("upto") - F.col("n")).alias("above")))
     held.unpersist()
     out = done[0]
     for d in done[1:]:
