@@ -319,28 +319,34 @@ def nearest_exact(index: Index, k: int, queries: Column) -> DataFrame:
     sent = index.classes.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of one task: a running list of k for every query."""
         q = sent.value
         group = np.array([f"{a}\0{b}" for a, b in zip(q["space"].to_pylist(), q["dim"].to_pylist(), strict=True)], object)
+        state = {}
+        for g in set(group.tolist()):
+            mine = np.flatnonzero(group == g)
+            qu = _unit(q["unit"].take(pa.array(mine)).combine_chunks(), int(g.rpartition("\0")[2]))
+            state[g] = (q["id"].to_numpy()[mine], qu, np.full((len(mine), k), -2.0), np.full((len(mine), k), -1, np.int64))
         for batch in batches:
             there = np.array([f"{a}\0{b}" for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], object)
-            for g in set(there.tolist()) & set(group.tolist()):
-                mine, rows = np.flatnonzero(group == g), np.flatnonzero(there == g)
-                dim = int(g.rpartition("\0")[2])
-                qi, qu = q["id"].to_numpy()[mine], _unit(q["unit"].take(pa.array(mine)), dim)
-                mi, mu = batch.column(2).to_numpy()[rows], _unit(batch.column(3).take(pa.array(rows)), dim)
+            for g in set(there.tolist()) & set(state):
+                qi, qu, best, who = state[g]
+                rows = np.flatnonzero(there == g)
+                mi, mu = batch.column(2).to_numpy()[rows], _unit(batch.column(3).take(pa.array(rows)), qu.shape[1])
                 for a in range(0, len(qi), STEP):
-                    cos = qu[a : a + STEP] @ mu.T
-                    cos[qi[a : a + STEP, None] == mi[None, :]] = -2
+                    at = slice(a, a + STEP)
+                    cos = qu[at] @ mu.T
+                    cos[qi[at, None] == mi[None, :]] = -2
                     top = min(k, len(mi))
                     c = np.argpartition(-cos, top - 1, axis=1)[:, :top]
-                    r = np.repeat(np.arange(len(cos)), top)
-                    c = c.ravel()
-                    keep = qi[a + r] != mi[c]
-                    r, c = r[keep], c[keep]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([g.rpartition("\0")[0]] * len(r), pa.string()), pa.array(qi[a + r]), pa.array(mi[c]), pa.array(_exact(qu[a + r], mu[c]))],
-                        names=["space", "entity_id", "neighbour_id", "cosine"],
-                    )
+                    r = np.arange(len(cos))[:, None]
+                    exact = np.where(cos[r, c] > -2, _exact(np.repeat(qu[at], top, 0), mu[c.ravel()]).reshape(c.shape), -2)
+                    both, ids = np.hstack([best[at], exact]), np.hstack([who[at], mi[c]])
+                    order = np.lexsort((ids, -both), axis=1)[:, :k]
+                    best[at], who[at] = both[r, order], ids[r, order]
+        for g, (qi, _, best, who) in state.items():
+            r, c = np.nonzero(best > -2)
+            yield pa.RecordBatch.from_arrays([pa.array([g.rpartition("\0")[0]] * len(r), pa.string()), pa.array(qi[r]), pa.array(who[r, c]), pa.array(best[r, c])], names=["space", "entity_id", "neighbour_id", "cosine"])
 
     rows = index.classes.select("space", "dim", "id", "unit").mapInArrow(run, "space string, entity_id long, neighbour_id long, cosine double")
     by = Window.partitionBy("space", "entity_id").orderBy(F.desc("cosine"), "neighbour_id")

@@ -69,13 +69,18 @@ def mixture(rows: DataFrame, planned: DataFrame, seed: int = 11) -> DataFrame:
 
 
 def shares(planned: DataFrame, mixed: DataFrame) -> DataFrame:
-    """One row per target source with the share it reaches, of the mixture and of all tokens."""
+    """One row per target source with what the mixture really took from it, and its share of the mixture.
+
+    A source is short when the mixture used all it may, every record as often as allowed, and is still below the
+    source's budget.
+    """
     used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_uses")).alias("n_used"), F.sum("n_uses").alias("n_records_used"), F.max("n_uses").alias("most_uses"))
     whole = used.agg(F.sum("n_used").alias("t"))
+    exhausted = (F.col("n_used") >= F.col("n_available") * F.col("max_repeats")) & (F.col("n_used") < F.col("budget"))
     return (
         planned.join(used, "source", "left")
         .fillna(0, ["n_used", "n_records_used", "most_uses"])
-        .select("source", "target_share", "max_repeats", "n_available", F.round("budget", 3).alias("budget"), "n_used", "n_records_used", "most_uses", F.round(F.col("n_used") / whole.scalar(), 6).alias("share_reached"), "is_short")
+        .select("source", "target_share", "max_repeats", "n_available", F.round("budget", 3).alias("budget"), "n_used", "n_records_used", "most_uses", F.round(F.col("n_used") / whole.scalar(), 6).alias("share_reached"), exhausted.alias("is_short"))
     )
 
 

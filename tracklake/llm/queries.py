@@ -103,7 +103,7 @@ def p6_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     uris = table(spark, sf_dir, "tracks").groupBy("track_id").agg(F.min("track_uri").alias("uri"))
     a = uris.select(F.col("track_id").alias("item_a"), F.col("uri").alias("track_uri_a"))
     b = uris.select(F.col("track_id").alias("item_b"), F.col("uri").alias("track_uri_b"))
-    named = salted_join(salted_join(together, a, ["item_a"], [F.col("item_b")], "left"), b, ["item_b"], [F.col("item_a")], "left")
+    named = together.join(a, "item_a", "left").join(b, "item_b", "left")
     return named.select(
         F.col("item_a").alias("track_a"), F.col("item_b").alias("track_b"), "track_uri_a", "track_uri_b", "n_ab", "n_a", "n_b", F.round("npmi", 6).alias("npmi"), "expected", F.round(-F.log10(F.greatest("p_value", F.lit(1e-300))), 4).alias("surprise"), "significant"
     )
