@@ -49,3 +49,14 @@ def test_imports_without_the_training_subpackage():
     for p in pathlib.Path("tracklake").rglob("*.py"):
         if "llm" not in p.parts:
             assert "tracklake.llm" not in p.read_text(), p
+
+
+def test_build_command(spark, tmp_path):
+    from tracklake.__main__ import build
+    from tracklake.sources import store
+
+    build(spark, DATA, str(tmp_path), 10)
+    t = store.read(spark, str(tmp_path), "entries", "track_tags", "challenges")
+    held = {r.playlist_id for r in t["challenges"].select("playlist_id").distinct().collect()}
+    assert held and not held & {r.playlist_id for r in t["entries"].select("playlist_id").distinct().collect()}
+    assert t["track_tags"].count() > 0 and (tmp_path / "build_meta.json").exists()

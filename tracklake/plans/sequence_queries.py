@@ -211,12 +211,15 @@ def track_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reasons(spark, sf_dir)
 
 
-@query(f"""WITH {q.PLAYLISTS}, {q.TRACKS}, {q.INTER}, cat AS (SELECT track_id, {q.norm("artist")} AS artist FROM t), w AS (SELECT playlist_id, list_filter(string_split({q.norm("coalesce(name, '')")}, ' '), lambda x: x <> '') AS w FROM p),
+@query(f"""WITH {q.TRACKS}, {q.INTER}, cat AS (SELECT track_id, {q.norm("artist")} AS artist FROM t), txt AS (SELECT playlist_id - 1 AS playlist_id, 'For fans of ' || string_agg(t.artist, ', ' ORDER BY position, track_id) AS name FROM inter JOIN t USING (track_id) WHERE position < 3 AND t.artist IS NOT NULL GROUP BY 1),
+    w AS (SELECT playlist_id, list_filter(string_split({q.norm("name")}, ' '), lambda x: x <> '') AS w FROM txt),
     gr AS ({" UNION ".join(f"SELECT playlist_id, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS artist FROM w" for n in (1, 2, 3, 4))}),
     kn AS (SELECT DISTINCT playlist_id, artist FROM gr WHERE artist IN (SELECT artist FROM cat WHERE artist <> '') AND (contains(artist, ' ') OR length(artist) >= 8))
     SELECT playlist_id AS copy_id, artist FROM kn WHERE (playlist_id, artist) NOT IN (SELECT (playlist_id, artist) FROM inter JOIN cat USING (track_id) WHERE artist IS NOT NULL)""")
 def copy_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Artists named in a playlist's title that are not on it."""
-    copies = b.once(table(spark, sf_dir, "playlists"), "playlist_id").select(F.col("playlist_id").alias("copy_id"), F.col("name").alias("text"))
-    present = b.interactions(table(spark, sf_dir, "entries")).select(F.col("playlist_id").alias("copy_id"), "track_id")
-    return ex.unsupported_artists(copies, present, tracks(spark, sf_dir))
+    """Artists named in a playlist's copy that are not on it; the copy here names the first artists of the next playlist."""
+    inter = b.interactions(table(spark, sf_dir, "entries"))
+    named = inter.where("position < 3").join(tracks(spark, sf_dir).where("artist IS NOT NULL").select("track_id", "artist"), "track_id")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "track_id", "artist"))), lambda x: x["artist"]), ", ")
+    copies = named.groupBy((F.col("playlist_id") - 1).alias("copy_id")).agg(F.concat(F.lit("For fans of "), said).alias("text"))
+    return ex.unsupported_artists(copies, inter.select(F.col("playlist_id").alias("copy_id"), "track_id"), tracks(spark, sf_dir))
