@@ -12,8 +12,9 @@ from tracklake.session import table
 
 @query("SELECT artist_uri FROM entries WHERE artist_uri IS NOT NULL GROUP BY artist_uri HAVING count(*) * 1000 >= 15 * (SELECT count(*) FROM entries)")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = per_key(table(spark, sf_dir, "entries"), ["artist_uri"], F.count(F.lit(1)).alias("n_rows"))
-    return at_least_share(counts, "n_rows", 15).where("artist_uri IS NOT NULL").select("artist_uri")
+    entries = table(spark, sf_dir, "entries")
+    counts = per_key(entries, ["artist_uri"], F.count(F.lit(1)).alias("n_rows"))
+    return at_least_share(counts, "n_rows", 15, entries).where("artist_uri IS NOT NULL").select("artist_uri")
 
 
 @query(
