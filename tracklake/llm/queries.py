@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = knn.build_index(table(spark, sf_dir, "vectors"))
+    index = knn.build_index(table(spark, sf_dir, "vectors"), leaf_rows=2000)
     pairs = knn.similar_pairs(index, min_cosine=0.9, visits=16)
     return pairs.select("space", F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
 
