@@ -40,3 +40,24 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracklake-ckpt-"))
     return df.checkpoint(eager=eager)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that their Python workers can import it.
+
+    The archive is made where the driver runs and is served by Spark itself; a cluster that already has the
+    package on its path loses nothing by it.
+    """
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_tracklake_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tracklake-code-")) / "tracklake.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._tracklake_shipped = True
