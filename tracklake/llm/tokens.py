@@ -14,7 +14,8 @@ Slices are merged into ids once per distinct slice (a bounded cache per worker)
 every id's slice is kept, so a token range can be turned back into a character range.
 
 Results: a null or an empty text gives an empty list. Strings that look like special tokens are ordinary
-text. Repeated rows are encoded again (once, through the cache). Any other column passes through.
+text. Repeated rows are encoded again (once, through the cache). Any other column passes through; one that has
+the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -231,18 +232,17 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(a, rows)
 
 
-def _with(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
-    clash = {f.name for f in fields} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns already present: {sorted(clash)}")
-    return T.StructType([*df.schema.fields, *fields])
+def _with(df: DataFrame, fields: list[T.StructField]) -> tuple[DataFrame, T.StructType]:
+    """``df`` without columns of the new fields' names, which the result replaces, and the schema with the fields."""
+    kept = df.drop(*[f.name for f in fields])
+    return kept, T.StructType([*kept.schema.fields, *fields])
 
 
 def with_ids(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str | None = None, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``df`` plus the token ids of ``text`` and, on request, the character offset of each id's slice."""
-    at = df.columns.index(text)
     ints = T.ArrayType(T.IntegerType(), False)
-    schema = _with(df, [T.StructField(c, ints, False) for c in (ids, *([offsets] if offsets else []))])
+    df, schema = _with(df, [T.StructField(c, ints, False) for c in (ids, *([offsets] if offsets else []))])
+    at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
@@ -256,8 +256,8 @@ def with_ids(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str |
 
 def with_token_count(df: DataFrame, text: str = "text", count: str = "n_tokens", vocabulary: str = DEFAULT_VOCABULARY, keep_text: bool = False) -> DataFrame:
     """``df`` plus the number of tokens of ``text`` (0 for null and empty); the text is dropped unless kept."""
+    df, full = _with(df, [T.StructField(count, T.IntegerType(), False)])
     at = df.columns.index(text)
-    full = _with(df, [T.StructField(count, T.IntegerType(), False)])
     schema = full if keep_text else T.StructType([f for f in full.fields if f.name != text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
