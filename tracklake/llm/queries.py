@@ -98,8 +98,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of at least five playlists with their counts, surprise under the null model, and track_uri."""
-    together = pairs.surprise(_bags(spark, sf_dir), min_count=5)
+    """All pairs with their counts, surprise under the null model, and track_uri."""
+    together = pairs.surprise(_bags(spark, sf_dir), min_count=1)
     uris = table(spark, sf_dir, "tracks").groupBy("track_id").agg(F.min("track_uri").alias("uri"))
     a = uris.select(F.col("track_id").alias("item_a"), F.col("uri").alias("track_uri_a"))
     b = uris.select(F.col("track_id").alias("item_b"), F.col("uri").alias("track_uri_b"))
@@ -114,6 +114,11 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pair_counts(_bags(spark, sf_dir), 2).select(F.col("item_a").alias("track_a"), F.col("item_b").alias("track_b"), "n_ab")
 
 
+def p6_all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts of all pairs, those of a single playlist too."""
+    return pairs.pair_counts(_bags(spark, sf_dir)).select(F.col("item_a").alias("track_a"), F.col("item_b").alias("track_b"), "n_ab")
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = tokens.with_token_count(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixing.mix(docs, table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens")
@@ -142,7 +147,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p3_found, p3_frequencies, p4_found, p4_kept, p5_found, p5_canonical, p6_found, p6_surprise, p6_counts, p7_ids, p8_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p3_found, p3_frequencies, p4_found, p4_kept, p5_found, p5_canonical, p6_found, p6_surprise, p6_counts, p6_all_counts, p7_ids, p8_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
 
 
 FREQUENCIES = """
@@ -162,6 +167,7 @@ HELD = """
 
 SQL = {
     "p6_counts": HELD + " SELECT track_a, track_b, n_ab FROM counts WHERE n_ab >= 2",
+    "p6_all_counts": HELD + " SELECT track_a, track_b, n_ab FROM counts",
     "p6_found": HELD
     + """, support AS (SELECT item, count(*) AS n FROM held GROUP BY item), total AS (SELECT count(*) AS n FROM baskets)
         SELECT track_a, track_b FROM counts JOIN support a ON a.item = track_a JOIN support b ON b.item = track_b, total
