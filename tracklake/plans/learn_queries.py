@@ -129,6 +129,16 @@ def cold_graft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("entity_id", F.size("v").cast("long").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
+@query(f"WITH {q.VECTORS}, {q.TRACKS}, {_COLD}, a AS (SELECT entity_id, v FROM vec WHERE space = 'collab' AND v IS NOT NULL), n AS (SELECT entity_id, v FROM vec WHERE space = 'tag_tracks' AND v IS NOT NULL AND entity_id IN (SELECT track_id FROM cold)) SELECT entity_id, len(coalesce(n.v, a.v)) AS dim, round(list_sum(coalesce(n.v, a.v)), 6) AS total FROM a FULL JOIN n USING (entity_id)")
+def cold_graft_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one space, those of every cold track replaced from another."""
+    from tracklake.plans.retrieve_queries import vectors
+
+    cold = tracks(spark, sf_dir).where("n_playlists <= 5").select(F.col("track_id").alias("entity_id"))
+    g = lp.grafted(vectors(spark, sf_dir, "collab"), vectors(spark, sf_dir, "tag_tracks").join(cold, "entity_id", "left_semi"))
+    return g.select("entity_id", F.size("v").cast("long").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
 @query(f"WITH {FUSED}, {q.TRACKS}, {q.CHALLENGES}, {_COLD}, h AS (SELECT query_id, count(*) AS n, min(rank + 1) AS best FROM fu WHERE track_id IN (SELECT track_id FROM cold) GROUP BY 1) SELECT query_id, coalesce(n, 0) AS n_recovered, coalesce(best, 0) AS best_rank FROM ch LEFT JOIN h USING (query_id)")
 def cold_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lp.cold_ranks(fused(spark, sf_dir), tracks(spark, sf_dir).where("n_playlists <= 5"), challenges(spark, sf_dir))

@@ -212,6 +212,21 @@ def track_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.resolve_tracks(named.select(F.concat_ws(" - ", "name", "artist").alias("mention")), t)
 
 
+_MENTION = "'^(.+?)(?: - | – | by | — )(.+)$'"
+
+
+@query(f"""WITH {_CAT}, s AS (SELECT DISTINCT name || ' - ' || artist AS mention FROM t WHERE name IS NOT NULL AND artist IS NOT NULL),
+    m AS (SELECT mention, CASE WHEN regexp_matches(mention, {_MENTION}) THEN regexp_extract(mention, {_MENTION}, 1) ELSE mention END AS name, CASE WHEN regexp_matches(mention, {_MENTION}) THEN regexp_extract(mention, {_MENTION}, 2) END AS artist FROM s),
+    asked AS (SELECT mention, {q.norm("name")} AS title, {q.norm("artist")} AS want FROM m),
+    hits AS (SELECT mention, track_id, n, coalesce(artist = want, false) AS own FROM asked JOIN cat USING (title) WHERE title <> ''), k AS (SELECT *, bool_or(own) OVER (PARTITION BY mention) AS any_own FROM hits)
+    SELECT mention, track_id, CAST(row_number() OVER (PARTITION BY mention ORDER BY n DESC, track_id) - 1 AS INTEGER) AS rank FROM k WHERE own OR NOT any_own""")
+def track_resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks meant by the mention 'Title - Artist' of every track."""
+    t = tracks(spark, sf_dir)
+    named = t.where("name IS NOT NULL AND artist IS NOT NULL")
+    return r.resolve_tracks(named.select(F.concat_ws(" - ", "name", "artist").alias("mention")), t)
+
+
 @query(f"""WITH {q.PLAYLISTS}, {q.tokens("p", "playlist_id", "name")}, vocab AS (SELECT token FROM tok GROUP BY token HAVING count(DISTINCT key) >= 5), {q.CHALLENGES},
     ph AS (SELECT query_id, title AS phrase, {q.norm("title")} AS n FROM ch WHERE title IS NOT NULL), ex AS (SELECT query_id, phrase, n AS tag FROM ph WHERE n IN (SELECT token FROM vocab)),
     {q.tokens("ch", "query_id", "title", 1000, "qt")}, rest AS (SELECT key AS query_id, token FROM qt WHERE token IN (SELECT token FROM vocab) AND key NOT IN (SELECT query_id FROM ex)),
