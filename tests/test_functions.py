@@ -1,9 +1,7 @@
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracklake.functions import planner, sound, text
+from tracklake.functions import sound, text
 
 
 def one(spark, column, **values):
@@ -17,12 +15,11 @@ def one(spark, column, **values):
 )
 def test_normalize(spark, raw, out):
     assert one(spark, text.normalize(F.col("s")), s=raw) == out
-    assert planner.normalized(raw) == (out or "")
 
 
 @pytest.mark.parametrize("raw, out", [("90s hits", ["1990s"]), ("the 00s", ["2000s"]), ("70s/80s and more 70s", ["1970s", "1980s"]), ("2016 jams", ["2010s"]), ("30s", []), ("1980's", ["1980s"]), ("1949 2030", [])])
 def test_decades(spark, raw, out):
-    assert one(spark, text.decade_tags(F.col("s")), s=raw) == out == planner.decades(raw)
+    assert one(spark, text.decade_tags(F.col("s")), s=raw) == out
 
 
 def test_tokens(spark):
@@ -31,13 +28,6 @@ def test_tokens(spark):
     assert one(spark, text.tokenize(F.col("s")), s="") == [] and one(spark, text.title_tokens(F.col("s")), s=None) == []
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.text(alphabet="ab&'1 9é0s!.", max_size=30))
-def test_tokens_of_planner_follow_rules(s):
-    toks = planner.tokens(s)
-    assert len(toks) == len(set(toks)) and all(t == planner.normalized(t) or t in planner.decades(s) for t in toks)
-
-
 @pytest.mark.parametrize("key, mode, label", [(0, 1, "8B"), (9, 0, "8A"), (7, 1, "9B"), (4, 1, "12B"), (11, 1, "1B"), (99, 1, None), (None, 1, None), (3, None, None)])
 def test_wheel(spark, key, mode, label):
     df = spark.createDataFrame([(key, mode)], "k int, m int")
@@ -61,46 +51,3 @@ def test_vectors(spark):
     assert [r[0] for r in df.select(sound.unit(F.col("v"))).collect()] == [[0.6, 0.8], None, None]
     hot = spark.createDataFrame([(2,), (None,), (12,)], "k int").select(sound.one_hot_key(F.col("k"))).collect()
     assert [sum(r[0]) for r in hot] == [1, 0, 0] and hot[0][0][2] == 1
-
-
-@pytest.mark.parametrize(
-    "words, want",
-    [
-        ("20 upbeat workout tracks", {"track_count": 20}),
-        ("1.5 hours of jazz", {"target_duration_minutes": 90.0}),
-        ("an hour, 45 minutes and 1 hour", {"target_duration_minutes": 105.0}),
-        ("150-175 bpm running", {"min_bpm": 150.0, "max_bpm": 175.0}),
-        ("around 120 bpm", {"min_bpm": 112.0, "max_bpm": 128.0}),
-        ("over 130 bpm", {"min_bpm": 130.0, "max_bpm": None}),
-        ("slow songs", {"min_bpm": None, "max_bpm": 95}),
-        ("nothing explicit please", {"exclude_explicit": True}),
-        ("15 party bangers", {"track_count": None}),
-        ("one hour", {"target_duration_minutes": None}),
-        ("songs like Bon Iver and more", {"seed_artists": ["bon iver"]}),
-        ("folk, no Drake", {"avoid_artists": ["drake"]}),
-        ("no swearing", {"avoid_artists": []}),
-        ("chill rainy morning", {"energy_curve": "steady"}),
-        ("workout", {"energy_curve": "build", "min_bpm": 120, "max_bpm": 160}),
-        ("chill set that winds down", {"energy_curve": "wind_down"}),
-        ("", {"track_count": None, "themes": [], "energy_curve": "steady"}),
-    ],
-)
-def test_planner(words, want):
-    got = planner.parse(words)
-    assert {k: getattr(got, k) for k in want} == want
-
-
-def test_planner_moods_and_copy():
-    i = planner.parse("90s chill study music", frozenset({"1990s", "study", "vaporwave"}))
-    assert i.audio["energy"] == pytest.approx(0.30) and i.audio["speechiness"] == 0.05 and i.eras == ["1990s"]
-    assert planner.template_copy(i, 12)[0].endswith("1990s")
-    other = planner.Intent(track_count=5, eras=["1980s"])
-    assert planner.merged(planner.parse("12 songs of the 90s"), other).track_count == 12
-    assert planner.merged(planner.parse("12 songs of the 90s"), other).eras == ["1990s", "1980s"]
-    assert planner.template_copy(planner.Intent(), 3) == ("Your Playlist", "3 tracks.")
-
-
-def test_plan_many(spark):
-    df = spark.createDataFrame([(1, "20 sad songs"), (2, None)], "query_id int, text string")
-    rows = {r.query_id: r for r in planner.plan(df).collect()}
-    assert rows[1].track_count == 20 and rows[2].track_count is None and rows[2].themes == []

@@ -32,14 +32,29 @@ def fold_text(text: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def _folded(s: pd.Series) -> pd.Series:
+def folded(s: pd.Series) -> pd.Series:
     return s.map(fold_text, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _folded_all(s: pd.Series) -> pd.Series:
+    return s.map(lambda texts: [fold_text(t) for t in texts], na_action="ignore")
+
+
+def _plain(c: Column) -> Column:
+    """What is left of a folded text."""
+    kept = F.regexp_replace(c, r"[^a-z0-9'&\s]+", " ")
+    return F.trim(F.regexp_replace(F.replace(kept, F.lit("&"), F.lit(" and ")), r"\s+", " "))
+
+
 def normalize(c: Column) -> Column:
     """Lower case without accents, marks or symbols, one space between words; null stays null."""
-    kept = F.regexp_replace(_folded(c), r"[^a-z0-9'&\s]+", " ")
-    return F.trim(F.regexp_replace(F.replace(kept, F.lit("&"), F.lit(" and ")), r"\s+", " "))
+    return _plain(folded(c))
+
+
+def normalize_all(c: Column) -> Column:
+    """``normalize`` of every text of an array."""
+    return F.transform(_folded_all(c), _plain)
 
 
 def decade_tags(c: Column) -> Column:

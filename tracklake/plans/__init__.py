@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracklake.plans.registry import QUERIES, SQL, Query
 
-MODULES = ("artist_queries", "build_queries", "retrieve_queries", "metric_queries", "sequence_queries", "learn_queries", "source_queries", "generate_queries", "report_queries")
+MODULES = ("artist_queries", "build_queries", "retrieve_queries", "metric_queries", "sequence_queries", "learn_queries", "intent_queries", "source_queries", "generate_queries", "report_queries")
 
 
 def _load() -> None:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.functions import planner
 from tracklake.operators import build as b
 from tracklake.operators import loop as lp
 from tracklake.operators import model as md
@@ -14,7 +13,7 @@ from tracklake.plans import sql as q
 from tracklake.plans.build_queries import TAGS, inter, tags, tracks
 from tracklake.plans.metric_queries import FUSED, TRUTH, fused, truth
 from tracklake.plans.registry import query
-from tracklake.plans.retrieve_queries import candidates, challenges, query_tags, seeds, titled
+from tracklake.plans.retrieve_queries import candidates, challenges, query_tags, seeds
 
 
 def _sppmi(cells: str, row: str, col: str, value: str, shift: float, damp: str) -> str:
@@ -104,12 +103,6 @@ def ranking_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(float(md.auc(y, "score", "label")), 6),)], "auc double")
 
 
-@query()
-def planned_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every title read as a request."""
-    return planner.plan(titled(spark, sf_dir))
-
-
 _COLD = "cold AS (SELECT track_id FROM t WHERE n_playlists <= 5)"
 
 

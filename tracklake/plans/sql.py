@@ -17,12 +17,17 @@ _PLAIN = "".join(chr(c) for c in range(0x21, 0x7F)) + "ivlcmCM"
 _PAIRS = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "Ⅱ": "II", "Ⅳ": "IV", "…": "..."}
 
 
-def norm(x: str) -> str:
-    """SQL of the normalised form of a text."""
+def fold(x: str) -> str:
+    """SQL of a text without accents, in lower case."""
     folded = f"translate({x}, '{_WIDE.replace(chr(39), chr(39) * 2)}', '{_PLAIN.replace(chr(39), chr(39) * 2)}')"
     for a, b in _PAIRS.items():
         folded = f"replace({folded}, '{a}', '{b}')"
-    kept = rf"regexp_replace(lower(strip_accents({folded})), '[^a-z0-9''&\s]+', ' ', 'g')"
+    return f"lower(strip_accents({folded}))"
+
+
+def norm(x: str) -> str:
+    """SQL of the normalised form of a text."""
+    kept = rf"regexp_replace({fold(x)}, '[^a-z0-9''&\s]+', ' ', 'g')"
     return rf"trim(regexp_replace(replace({kept}, '&', ' and '), '\s+', ' ', 'g'))"
 
 
