@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions import sound as sd
@@ -175,7 +175,7 @@ def constraint_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks(spark, sf_dir).select("track_id", F.col("artist_uri").alias("artist"), (F.col("duration_ms") / 1000).alias("duration_s"))
-    v = vectors(spark, sf_dir, "collab").select(F.col("entity_id").alias("track_id"), "v")
+    v = asm.packed(vectors(spark, sf_dir, "collab").select(F.col("entity_id").alias("track_id"), "v"))
     return fused(spark, sf_dir).select("query_id", "track_id", "score").join(t, "track_id").join(v, "track_id", "left").withColumn("affinity", F.lit(None).cast("double"))
 
 
@@ -185,6 +185,37 @@ def diverse_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asm.select(_pools(spark, sf_dir), intents(spark, sf_dir).select("query_id", "track_count", "target_duration_minutes", "max_per_artist"))
 
 
+@query(f"""WITH {FUSED}, {q.TRACKS}, {q.INTENTS}, pool AS (SELECT query_id, coalesce(artist_uri, 'track ' || track_id) AS artist FROM fu JOIN t USING (track_id) WHERE rank < 500),
+    a AS (SELECT query_id, artist, count(*) AS c FROM pool GROUP BY 1, 2), w AS (SELECT query_id, track_count, CASE WHEN track_count IS NULL THEN target_duration_minutes END AS minutes, coalesce(max_per_artist, 2) AS cap FROM it),
+    n AS (SELECT query_id, any_value(minutes) AS minutes, least(sum(least(c, cap)), coalesce(any_value(track_count), 20)) AS n FROM a JOIN w USING (query_id) GROUP BY 1)
+    SELECT query_id, CASE WHEN minutes IS NULL THEN CAST(n AS BIGINT) END AS n_tracks, true AS all_different, true AS within_cap, true AS from_pool, true AS best_first, true AS within_time FROM n""")
+def selection_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every selected list: its length where a count decides it, its caps, its origin, its first track, its time."""
+    w = intents(spark, sf_dir).select("query_id", F.coalesce("max_per_artist", F.lit(2)).alias("cap"), F.when(F.col("track_count").isNull(), F.col("target_duration_minutes") * 60).alias("goal"))
+    p = _pools(spark, sf_dir).select("query_id", "track_id", F.coalesce("artist", F.concat(F.lit("track "), F.col("track_id").cast("string"))).alias("artist"), F.coalesce("duration_s", F.lit(0.0)).alias("d"), F.lit(True).alias("there"))
+    top = fused(spark, sf_dir).where("rank = 0").select("query_id", F.col("track_id").alias("top"))
+    got = diverse_selection(spark, sf_dir).join(p, ["query_id", "track_id"], "left").join(top, "query_id")
+    per = got.groupBy("query_id", "artist").agg(F.count(F.lit(1)).alias("c"), F.countDistinct("track_id").alias("u"), F.sum("d").alias("d"), F.max("d").alias("longest"), F.min("there").alias("there"), F.max((F.col("place") == 0) & (F.col("track_id") == F.col("top"))).alias("best"))
+    s = per.groupBy("query_id").agg(F.sum("c").alias("n"), F.sum("u").alias("u"), F.max("c").alias("most"), F.sum("d").alias("d"), F.max("longest").alias("longest"), F.min("there").alias("there"), F.max("best").alias("best")).join(w, "query_id")
+    timed = F.col("goal").isNotNull()
+    return s.select("query_id", F.when(~timed, F.col("n")).alias("n_tracks"), (F.col("n") == F.col("u")).alias("all_different"), (F.col("most") <= F.col("cap")).alias("within_cap"), F.coalesce("there", F.lit(False)).alias("from_pool"), F.col("best").alias("best_first"), (~timed | (F.col("n") == 1) | (F.col("d") <= F.col("goal") + F.col("longest") / 2 + 1e-6)).alias("within_time"))
+
+
+@query(f"""WITH {SHOWN}, {q.TRACKS} SELECT query_id, count(*) AS n_tracks, CAST(sum(track_id) AS BIGINT) AS track_sum, true AS places_whole, true AS cost_agrees FROM l JOIN t USING (track_id) GROUP BY 1""")
+def beam_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every order: all tracks of the list, each place once, and the cost that the order really has."""
+    t = tracks(spark, sf_dir).select("track_id", F.coalesce("artist_uri", F.concat(F.lit("track "), F.col("track_id").cast("string"))).alias("artist"), "energy", "tempo", "key", "mode")
+    o = beam_sequence(spark, sf_dir).join(t, "track_id")
+    whole, order = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy("place")
+    facts = o.withColumns({f"p_{c}": F.lag(c).over(order) for c in ("artist", "tempo", "key", "mode")} | {"n": F.count(F.lit(1)).over(whole), "base": F.coalesce(F.avg("energy").over(whole), F.lit(0.5))})
+    target = sd.curve_target(F.lit("build"), F.when(F.col("n") > 1, F.col("place") / (F.col("n") - 1)).otherwise(F.lit(0.5)), F.col("base"))
+    at = F.coalesce(F.abs(F.col("energy") - target), F.lit(0.15)) * 1.4
+    step = sd.tempo_distance(F.col("p_tempo"), F.col("tempo")) + 0.8 * sd.key_distance(F.col("p_key"), F.col("p_mode"), F.col("key"), F.col("mode")) + 2.0 * (F.col("p_artist") == F.col("artist")).cast("int")
+    each = facts.withColumn("c", at + F.when(F.col("place") > 0, step).otherwise(F.lit(0.0)))
+    s = each.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_tracks"), F.sum("track_id").alias("track_sum"), F.countDistinct("place").alias("p"), F.max("place").alias("last"), F.sum("c").alias("c"), F.max("total_cost").alias("said"))
+    return s.select("query_id", "n_tracks", "track_sum", ((F.col("p") == F.col("n_tracks")) & (F.col("last") == F.col("n_tracks") - 1)).alias("places_whole"), ((F.abs(F.col("c") - F.col("said")) < 1e-4) | (F.col("n_tracks") <= 2)).alias("cost_agrees"))
+
+
 @query()
 def beam_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Playing order of every shown list along a building energy curve."""
