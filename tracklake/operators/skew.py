@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key is heavy when it holds at least this share of the rows, so at most 1 / HEAVY_SHARE keys are heavy.
 HEAVY_SHARE = 0.001
 SALTS = 64
 #: Ids that one list of a pair expansion may span.
 SPAN = 1024
+#: Bytes of queries that one task holds, and rows of the other side that one group holds.
+BLOCK_BYTES, PART_ROWS = 64_000_000, 200_000
 
 
 def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
@@ -51,3 +57,38 @@ def expand_pairs(members: DataFrame, links: DataFrame, group: list[str], label:
     two = one.select(*group, "__x", F.explode("__b").alias("__y"), "__own")
     # Within one label a pair of spans comes once, in one order only; equal ids never pair.
     return two.where((F.col("__x") < F.col("__y")) | (~F.col("__own") & (F.col("__x") > F.col("__y")))).select(*group, F.least("__x", "__y").alias("id_a"), F.greatest("__x", "__y").alias("id_b"))
+
+
+def against_all(queries: DataFrame, rows: DataFrame, run: Callable[[pa.Table, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, n_bytes: Column) -> DataFrame:
+    """``run(block of queries, batches of rows)`` of every query against every row, for a stated set of queries.
+
+    ``n_bytes`` is the size of a query. Queries of at most BLOCK_BYTES in all, by measure, are sent to every task.
+    More are cut into blocks and the rows into parts by hash; each block meets each part in a group of its own, so
+    no task and no driver ever holds more than one block and one part. Both ways call ``run`` with whole queries.
+    Both inputs are read more than once.
+    """
+    spark = rows.sparkSession
+    size = queries.agg(F.sum(n_bytes).alias("s")).first().s or 0
+    if size <= BLOCK_BYTES:
+        sent = spark.sparkContext.broadcast(queries.toArrow())
+        return rows.mapInArrow(lambda batches: run(sent.value, batches), schema)
+    blocks = int(-(-size // BLOCK_BYTES))
+    parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS)))
+    cell = ["__block", "__part"]
+
+    def placed(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        at = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(n)).cast("int")
+        return df.withColumn(own, at).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return out.empty_table()
+        found = list(run(left.drop_columns(cell), iter(right.drop_columns(cell).to_batches(max_chunksize=10_000))))
+        return pa.Table.from_batches(found).cast(out) if found else out.empty_table()
+
+    a, b = placed(queries, "__block", blocks, "__part", parts), placed(rows, "__part", parts, "__block", blocks)
+    return a.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInArrow(one, schema)
