@@ -21,22 +21,34 @@ BLOCK_BYTES, PART_ROWS = 64_000_000, 200_000
 def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
     """Keys holding at least ``share`` of the rows of ``df``: at most ``1 / share`` rows, whatever the data.
 
-    Map-side combining leaves one partial row per key and task before the shuffle. Null keys never join,
-    so they are not counted as keys.
+    Map-side combining leaves one partial row per key and task before the shuffle; the total is summed from the
+    counts, so ``df`` is read once. Null keys never join, so they are not counted as keys.
     """
-    counts = df.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("__n") >= F.greatest(total.scalar() * F.lit(share), F.lit(2))).drop("__n")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n").alias("n"))
+    known = F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    return counts.where(known & (F.col("__n") >= F.greatest(total.scalar() * F.lit(share), F.lit(2)))).drop("__n")
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[Column], how: str = "inner", salts: int = SALTS) -> DataFrame:
+def held_heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame | None:
+    """``heavy_keys``, worked out now and held by the driver (at most 1 / share rows); None where there are none."""
+    found = heavy_keys(df, keys, share)
+    rows = found.collect()
+    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[Column], how: str = "inner", salts: int = SALTS, heavy: DataFrame | None | str = "find") -> DataFrame:
     """``left`` joined to ``right`` on ``keys`` where ``left`` may be skewed and ``right`` has few rows per key.
 
     Rows of a heavy key of ``left`` are spread over ``salts`` tasks by the hash of ``spread``; the matching
-    rows of ``right`` are repeated that often. The broadcast holds heavy keys only (see ``heavy_keys``).
+    rows of ``right`` are repeated that often. The broadcast holds heavy keys only (see ``heavy_keys``); they are
+    found at once, unless given, and without any the join is a plain one.
     ``how`` is inner, left, left_semi or left_anti. Null keys match nothing.
     """
-    heavy = F.broadcast(heavy_keys(left, keys).withColumn("__heavy", F.lit(True)))
+    heavy = held_heavy_keys(left, keys) if isinstance(heavy, str) else heavy
+    if heavy is None:
+        return left.join(right, keys, how)
+    heavy = F.broadcast(heavy.withColumn("__heavy", F.lit(True)))
     salted = left.join(heavy, keys, "left").withColumn("__salt", F.when(F.col("__heavy"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("__heavy")
     copies = right.join(heavy, keys, "left").withColumn("__salt", F.explode(F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__heavy")
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
