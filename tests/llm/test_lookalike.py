@@ -20,9 +20,9 @@ def test_kept_apart(a, b):
 
 
 def test_dominant_script():
-    assert la.describe("hаrbour") == (True, "harbour", "harbour")  # one Cyrillic letter
-    assert la.describe("театp")[:2] == (True, "театр")  # one Latin letter
-    assert la.describe("harbour")[0] is False and la.describe("ɡreen")[:2] == (True, "green")
+    assert la.describe("hаrbour")[1][0] == "harbour" == la.describe("hаrbour")[2]  # one Cyrillic letter
+    assert la.describe("театp")[1][0] == "театр"  # one Latin letter
+    assert la.describe("harbour")[0] is False and la.describe("ɡreen")[:2] == (True, ["green"])
     assert la.look("é") == la.look("е\u0301")
 
 
@@ -54,3 +54,16 @@ def test_pairs_against_all_pairs(spark):
 
 def test_empty(spark):
     assert pairs(spark, []) == (set(), {})
+
+
+def test_each_token_is_settled_by_the_step_that_can(spark):
+    """Script and vocabulary first; the class step only where no clean spelling occurs or two clean ones look the same."""
+    texts = ["harbour", "hаrbour", "nevеr clean", "nеver clean", "сор", "cop", "cор", "plain word", "ｗｉｄｅ"]
+    recs = la.records(spark.createDataFrame(list(enumerate(texts)), "id int, name string"), "name", "id", "name")
+    cut = la.folded_texts(recs.select("field", "text").distinct())
+    step = {r.token: (r.fix, r.step) for r in la.repairs(cut).collect()}
+    assert step["hаrbour"] == ("harbour", "script") and "harbour" not in step and "plain" not in step and "clean" not in step
+    assert {s[1] for t, s in step.items() if t in ("nevеr", "nеver")} == {"class"}
+    assert len({step.get(t, (t,))[0] for t in ("сор", "cop", "cор")}) == 1 == len({step.get(t, (t,))[0] for t in ("nevеr", "nеver")})
+    told = {r.step: (r.n_tokens, r.n_texts) for r in la.steps(recs).collect()}
+    assert told["fold"] == (None, 1) and told["script"][0] >= 1 and told["class"][0] >= 2

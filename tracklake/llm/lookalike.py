@@ -5,9 +5,12 @@
    composed; hyphens of equal look become one.
 2. Script-aware repair, by token (a run of letters and marks): the script of most letters is the token's
    dominant script. Only in tokens of mixed script are look-alike letters replaced by their twins of the
-   dominant script, and only when the result is in the corpus vocabulary (tokens of one script).
-3. What the vocabulary cannot decide (no clean spelling occurs, or two spellings of one script each look the
-   same) is settled per class of equal look: all take the commonest repaired spelling, ties to the smallest.
+   dominant script (then of the token's other scripts), and only when the result is in the corpus vocabulary (tokens
+   of one script).
+3. What this leaves open, and nothing else, is settled per class of equal look: a class with one spelling after
+   step 2 is left alone; in one with several (no clean spelling occurs in the corpus, or clean spellings of two
+   scripts look the same) all take the commonest repaired spelling, ties to the smallest. ``repairs`` tells the step
+   that settled each token, and ``steps`` counts them.
 
 So two texts have the same canonical form exactly when they look the same; case, accents, missing blanks and
 other punctuation are kept apart.
@@ -41,6 +44,8 @@ TWINS = {
         "o": "ο", "p": "ρ", "v": "ν", "i": "ι", "u": "υ", "a": "α",
         "A": "Α", "B": "Β", "E": "Ε", "Z": "Ζ", "H": "Η", "I": "Ι", "K": "Κ", "M": "Μ", "N": "Ν", "O": "Ο", "P": "Ρ", "T": "Τ", "Y": "Υ", "X": "Χ",
     },
+    "Cherokee": {"A": "Ꭺ", "C": "Ꮯ", "E": "Ꭼ", "H": "Ꮋ", "J": "Ꭻ", "K": "Ꮶ", "L": "Ꮮ", "M": "Ꮇ", "P": "Ꮲ", "R": "Ꭱ", "S": "Ꮪ", "T": "Ꭲ", "V": "Ꮩ", "W": "Ꮃ", "Z": "Ꮓ"},
+    "Coptic": {"o": "ⲟ", "p": "ⲣ", "c": "ⲥ", "B": "Ⲃ", "C": "Ⲥ", "H": "Ⲏ", "I": "Ⲓ", "K": "Ⲕ", "M": "Ⲙ", "O": "Ⲟ", "P": "Ⲣ", "T": "Ⲧ", "X": "Ⲭ"},
     "Armenian": {"o": "օ", "u": "ս", "n": "ո", "h": "հ", "O": "Օ", "U": "Ս", "S": "Տ", "L": "Լ", "g": "ց", "q": "զ"},
 }
 # Latin letters that look like another Latin letter, and a second Cyrillic twin of Y.
@@ -121,17 +126,17 @@ def in_script(token: str, target: str) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-def describe(token: str) -> tuple[bool, str, str]:
-    """(of mixed script, the token in its dominant script, its look)."""
-    count = Counter(s for s in map(script, unicodedata.normalize("NFD", token)) if s)
+def describe(token: str) -> tuple[bool, list[str], str]:
+    """(of mixed script, the token in each of its scripts, its dominant one first, its look)."""
+    letters = unicodedata.normalize("NFD", token)
+    count = Counter(s for s in map(script, letters) if s)
     odd = any(c in SAME_SCRIPT for c in token)
     if len(count) <= 1 and not odd:
-        return False, token, look(token)
+        return False, [], look(token)
     # Most letters decide; a draw goes to the script with a letter that has no look-alike, then to Latin.
-    own = Counter(s for c in unicodedata.normalize("NFD", token) if (s := script(c)) and c not in LATIN_OF and not any(c in t for t in TWINS.values()))
-    dominant = max(count, key=lambda s: (count[s], own[s], s == "Latin", s))
-    return True, in_script(token, dominant), look(token)
-
+    own = Counter(s for c in letters if (s := script(c)) and c not in LATIN_OF and not any(c in t for t in TWINS.values()))
+    order = sorted(count, key=lambda s: (count[s], own[s], s == "Latin", s), reverse=True)
+    return True, list(dict.fromkeys(in_script(token, s) for s in order)), look(token)
 
 
 def folded_texts(df: DataFrame) -> DataFrame:
@@ -146,30 +151,55 @@ def folded_texts(df: DataFrame) -> DataFrame:
 
 
 def described_tokens(tokens: DataFrame) -> DataFrame:
-    """(token, n) to (token, n, mixed, target, look)."""
+    """(token, n) to (token, n, mixed, targets, look)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             told = [describe(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([t[0] for t in told], pa.bool_()), pa.array([t[1] for t in told], pa.string()), pa.array([t[2] for t in told], pa.string())],
-                names=["token", "n", "mixed", "target", "look"],
+                [batch.column(0), batch.column(1), pa.array([t[0] for t in told], pa.bool_()), pa.array([t[1] for t in told], pa.list_(pa.string())), pa.array([t[2] for t in told], pa.string())],
+                names=["token", "n", "mixed", "targets", "look"],
             )
 
-    return tokens.mapInArrow(run, "token string, n long, mixed boolean, target string, look string")
+    return tokens.mapInArrow(run, "token string, n long, mixed boolean, targets array<string>, look string")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Few bytes, much work in Python: one part a core of the shuffle, instead of one part in all."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def repairs(texts: DataFrame) -> DataFrame:
-    """(token, fix): every token of ``texts`` whose consistent form differs from it."""
+    """(token, fix, step): every token of ``texts`` whose consistent form differs from it, and the step that says so: ``script`` or ``class``."""
     word = F.explode("pieces").alias("token")
-    tokens = checkpointed(described_tokens(texts.select(word).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("token").rlike(r"\p{L}"))))
-    vocabulary = tokens.where("NOT mixed").select(F.col("token").alias("target"), F.lit(True).alias("known"))
-    repaired = tokens.join(vocabulary, "target", "left").withColumn("form", F.when(F.col("mixed") & ~F.coalesce("known", F.lit(False)), F.col("token")).otherwise(F.col("target")))
-    # One spelling for each look: the commonest after repair, clean spellings before mixed ones.
-    clean = ~F.col("mixed") | F.coalesce("known", F.lit(False))
-    forms = repaired.groupBy("look", "form").agg(F.sum("n").alias("n"), F.max(clean).alias("clean"))
-    chosen = forms.groupBy("look").agg(F.min(F.struct((~F.col("clean")).alias("a"), (-F.col("n")).alias("b"), F.col("form"))).getField("form").alias("fix"))
-    return repaired.join(chosen, "look").where("token <> fix").select("token", "fix")
+    counted = texts.select(word).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("token").rlike(r"\p{L}"))
+    tokens = checkpointed(described_tokens(_spread(counted)))
+    vocabulary = tokens.where("NOT mixed").select(F.col("token").alias("target"))
+    tried = tokens.where("mixed").select("token", F.posexplode("targets").alias("place", "target")).join(vocabulary, "target")
+    known = tried.groupBy("token").agg(F.min_by("target", "place").alias("known"))
+    after = checkpointed(tokens.join(known, "token", "left").select("token", "n", "look", F.coalesce("known", "token").alias("form"), (~F.col("mixed") | F.col("known").isNotNull()).alias("clean")))
+    # Classes with several spellings left: the commonest clean one, else the commonest.
+    forms = after.groupBy("look", "form").agg(F.sum("n").alias("n"), F.max("clean").alias("clean"))
+    chosen = forms.groupBy("look").agg(F.count(F.lit(1)).alias("spellings"), F.min(F.struct((~F.col("clean")).alias("a"), (-F.col("n")).alias("b"), F.col("form"))).getField("form").alias("one")).where("spellings > 1")
+    fix = F.coalesce("one", "form")
+    settled = after.join(chosen, "look", "left").withColumn("fix", fix).where("token <> fix")
+    return settled.select("token", "fix", F.when(F.col("fix") == F.col("form"), "script").otherwise("class").alias("step"))
+
+
+def steps(recs: DataFrame) -> DataFrame:
+    """(step, n_tokens, n_texts): distinct tokens and texts changed by folding, by script and vocabulary, and by class."""
+    texts = _cut_texts(recs)
+    fixes = checkpointed(repairs(texts))
+    plain = texts.where(F.array_join("pieces", "") != F.col("text")).agg(F.lit("fold").alias("step"), F.lit(None).cast("long").alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"))
+    words = texts.select("field", "text", F.explode(F.array_distinct("pieces")).alias("token"))
+    hit = salted_join(words, fixes.select("token", "step"), ["token"], [F.col("text")]).groupBy("step", "field", "text").agg(F.lit(1).alias("one"))
+    by_text = hit.groupBy("step").agg(F.count(F.lit(1)).alias("n_texts"))
+    by_token = fixes.groupBy("step").agg(F.count(F.lit(1)).alias("n_tokens"))
+    return plain.unionByName(by_token.join(by_text, "step").select("step", "n_tokens", "n_texts"))
+
+
+def _cut_texts(recs: DataFrame) -> DataFrame:
+    return checkpointed(folded_texts(_spread(recs.where("text IS NOT NULL").select("field", "text").distinct())))
 
 
 def canonical_texts(records: DataFrame) -> DataFrame:
@@ -177,8 +207,8 @@ def canonical_texts(records: DataFrame) -> DataFrame:
 
     The fields share one vocabulary.
     """
-    texts = checkpointed(folded_texts(records.where("text IS NOT NULL").select("field", "text").distinct()))
-    fixes = checkpointed(repairs(texts))
+    texts = _cut_texts(records)
+    fixes = checkpointed(repairs(texts).drop("step"))
     # Only tokens that can change are looked up: those outside ASCII, and ASCII ones whose look has another spelling.
     words = texts.select("field", "text", F.explode(F.array_distinct("pieces")).alias("token"))
     hits = salted_join(words, fixes, ["token"], [F.col("text")]).groupBy("field", "text").agg(F.map_from_entries(F.collect_list(F.struct("token", "fix"))).alias("fixes"))
@@ -202,6 +232,7 @@ def same_look_pairs(recs: DataFrame) -> DataFrame:
     Links join distinct texts of one canonical form; records are expanded from them in short lists, so copies of
     one text never pair with each other and a text with a third of all rows is spread over many tasks.
     """
+    recs = checkpointed(recs)
     forms = checkpointed(canonical_texts(recs))
     several = forms.groupBy("field", "canonical").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = checkpointed(forms.join(several, ["field", "canonical"]))
