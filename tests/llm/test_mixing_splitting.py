@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tracklake.llm import mixing, splitting, tokens
@@ -85,3 +86,16 @@ def test_pieces_table(spark):
     assert {r.doc_id for r in rows} == {1, 4} and sum(r.doc_id == 4 for r in rows) == 2
     assert all(r.text == ("word " * 900)[r.start : r.end] for r in rows if r.doc_id == 1)
     assert splitting.pieces(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_parts_are_measured_as_encoded_alone():
+    rng = np.random.default_rng(4)
+    alphabet = list("ab C1 9.,'\n\t -é日🔥") + ["'ll ", "'s", "  ", "don't ", "\r\n", "hello ", " world"]
+    enc = tokens.encoder(tokens.DEFAULT_VOCABULARY)
+    for _ in range(60):
+        text = "".join(rng.choice(alphabet, rng.integers(5, 120)))
+        parts = [tuple(sorted(map(int, rng.integers(0, len(text) + 1, 2)))) for _ in range(20)]
+        starts = tokens.slice_starts([text])[0].tolist()
+        parts += [(a, int(rng.integers(a, len(text) + 1))) for a in starts]
+        got = splitting.Measure(text, enc, enc.encode([text])[0][1]).counts(parts)
+        assert got == enc.count([text[a:b] for a, b in parts]), repr(text)

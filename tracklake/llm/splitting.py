@@ -2,8 +2,9 @@
 
 Balanced targets: the smallest number of pieces that can hold the text gives equal lengths; each cut is placed at
 its target and snapped to the strongest boundary nearby (paragraph, line, sentence, word, then any token), and
-the next piece starts at the strongest boundary among the last ``overlap`` tokens. Every piece is then encoded on
-its own; if one is over the limit, the text is laid out again with one piece more.
+the next piece starts at the strongest boundary among the last ``overlap`` tokens. Every piece is then measured as
+encoded on its own; if one is over the limit, the text is laid out again with one piece more. A piece that starts
+with a slice of the whole text has the same slices but for its last few characters, so only those are encoded again.
 
 Cases. A text within the limit is one piece. Null and empty texts have no piece. Pieces are contiguous slices of
 the text: together they cover it, and what two neighbours share has at most ``overlap`` tokens. A text without any break is
@@ -69,12 +70,38 @@ def strengths(text: str) -> np.ndarray:
     return out
 
 
+class Measure:
+    """Token counts of parts of one text, each as if encoded on its own."""
+
+    def __init__(self, text: str, enc: Encoder, offsets: list[int]):
+        self.text, self.enc = text, enc
+        starts, first = np.unique(np.asarray(offsets, np.int64), return_index=True)
+        # Slice starts, and the number of tokens before each slice.
+        self.starts, self.before = np.append(starts, len(text)), np.append(first, len(offsets))
+        head = np.fromiter((text[i].isalnum() for i in starts), bool, len(starts))
+        self.plain = starts[head]
+
+    def counts(self, parts: list[tuple[int, int]]) -> list[int]:
+        """A part from a slice start has the slices of the whole text up to any place whose neighbours two characters on are its own."""
+        sure, tails = [], []
+        for a, b in parts:
+            i = int(np.searchsorted(self.starts, a))
+            k = int(np.searchsorted(self.plain, b - 4, side="right")) - 1
+            c = int(self.plain[k]) if k >= 0 and self.starts[i] == a else -1
+            if c > a:
+                sure.append(int(self.before[np.searchsorted(self.starts, c)] - self.before[i]))
+                tails.append(self.text[c:b])
+            else:
+                sure.append(0)
+                tails.append(self.text[a:b])
+        return [m + n for m, n in zip(sure, self.enc.count(tails), strict=True)]
+
+
 def cut(text: str, enc: Encoder, lengths: np.ndarray, limit: int, overlap: int) -> tuple[int, list[tuple[int, int, int]]]:
-    """(tokens of the text, [(start, end, tokens)] of its pieces in characters)."""
-    ids = np.asarray(enc.encode([text])[0][0], np.int64)
+    """(tokens of the text, [(start, end, tokens)] of its pieces in characters), for a text over the limit."""
+    ids, offsets = enc.encode([text])[0]
+    ids = np.asarray(ids, np.int64)
     n = len(ids)
-    if n <= limit:
-        return n, [(0, len(text), n)] if n else []
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF).astype(np.int64)
     char_at = np.append(0, np.cumsum(width))
@@ -84,15 +111,16 @@ def cut(text: str, enc: Encoder, lengths: np.ndarray, limit: int, overlap: int)
     # Token starts that fall on a character: the only places where a cut can be.
     at = np.flatnonzero(whole)
     where, strong = place[at], strengths(text)[place[at]]
+    measure = Measure(text, enc, offsets)
     pieces = max(2, 1 + -(-(n - limit) // max(1, limit - overlap)))
     while True:
-        laid = _lay(n, pieces, limit, overlap, at, where, strong, text, enc)
+        laid = _lay(n, pieces, limit, overlap, at, where, strong, measure)
         if laid is not None:
             return n, laid
         pieces += 1
 
 
-def _lay(n: int, pieces: int, limit: int, overlap: int, at: np.ndarray, where: np.ndarray, strong: np.ndarray, text: str, enc: Encoder) -> list[tuple[int, int, int]] | None:
+def _lay(n: int, pieces: int, limit: int, overlap: int, at: np.ndarray, where: np.ndarray, strong: np.ndarray, measure: Measure) -> list[tuple[int, int, int]] | None:
     """Pieces for a given count, or None if one of them exceeds the limit when encoded on its own."""
     shared = min(overlap, max(0, n // pieces // 4))
     length = (n + (pieces - 1) * shared) / pieces
@@ -118,7 +146,7 @@ def _lay(n: int, pieces: int, limit: int, overlap: int, at: np.ndarray, where: n
         # The strongest start, the longest overlap among equals.
         begin = lo + int(np.argmax(strong[lo:end])) if lo < end else end
     chars = [(int(where[a]), int(where[b])) for a, b in spans]
-    counts = enc.count([text[a:b] for a, b in chars] + [text[c:b] for (_, b), (c, _) in zip(chars, chars[1:], strict=False)])
+    counts = measure.counts(chars + [(c, b) for (_, b), (c, _) in zip(chars, chars[1:], strict=False)])
     over = [k for k, m in enumerate(counts[: len(chars)]) if m > limit and spans[k][1] - spans[k][0] > 1]
     if over:
         return None
@@ -126,9 +154,9 @@ def _lay(n: int, pieces: int, limit: int, overlap: int, at: np.ndarray, where: n
         if m > overlap:
             # What is shared grew when encoded on its own: start later, at the next place that fits.
             b = chars[k - 1][1]
-            a = next(c for c in range(spans[k][0] + 1, spans[k - 1][1] + 1) if enc.count([text[int(where[c]) : b]])[0] <= overlap)
+            a = next(c for c in range(spans[k][0] + 1, spans[k - 1][1] + 1) if measure.counts([(int(where[c]), b)])[0] <= overlap)
             chars[k] = (int(where[a]), chars[k][1])
-            counts[k] = enc.count([text[chars[k][0] : chars[k][1]]])[0]
+            counts[k] = measure.counts([chars[k]])[0]
             if counts[k] > limit:
                 return None
     return [(a, b, m) for (a, b), m in zip(chars, counts, strict=False)]
@@ -149,10 +177,11 @@ def pieces(df: DataFrame, ident: str, text: str, limit: int = 512, overlap: int
         for batch in _parts(batches, 200):
             row: list[int] = []
             out: list[list] = [[], [], [], [], [], []]
-            for i, t in enumerate(batch.column(1).to_pylist()):
+            texts = batch.column(1).to_pylist()
+            for i, (t, m) in enumerate(zip(texts, enc.count(texts), strict=True)):
                 if not t:
                     continue
-                n, cuts = cut(t, enc, lengths, limit, overlap)
+                n, cuts = (m, [(0, len(t), m)]) if m <= limit else cut(t, enc, lengths, limit, overlap)
                 for k, (a, b, m) in enumerate(cuts):
                     row.append(i)
                     for o, v in zip(out, (n, k, a, b, m, t[a:b]), strict=True):
