@@ -4,9 +4,11 @@ Parallel bisection. Every contributor with more records than its cap has bounds
 beyond the cap. One pass counts, for all contributors together, the records between evenly spaced midpoints of
 the bounds (native counts, combined map-side), moves the bounds to the cell that holds the first record too
 many, and snaps them to the records in it. A contributor is settled when a key separates exactly its cap, or when its bounds have met on one score; the
-ties on that score are then resolved by the same bisection over identifiers. Each pass leaves out settled
-contributors and all records outside the bounds. No contributor is ever sorted or held in one task: those with
-more than HOT_SHARE of the rows are spread over SALTS parts.
+ties on that score are then resolved by the same bisection over identifiers. The first pass reads its bounds beside
+the records; each later one joins only contributors not yet settled. No contributor is ever sorted or held in one
+task: what is counted is combined within tasks, and joins spread contributors with more than HOT_SHARE of the rows.
+
+A limit by share is a limit by count: ``with_share`` turns a share of all records of a scope into one.
 
 Scores are compared exactly, through the order-preserving 64-bit integer of a double.
 
@@ -22,15 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklake.operators.skew import heavy_keys, salted_join
+from tracklake.operators.skew import held_heavy_keys, salted_join
 from tracklake.session import checkpointed
 
-WAYS, SALTS, HOT_SHARE = 64, 64, 0.001
+WAYS, HOT_SHARE = 64, 0.001
 
 
 def ordered_key(df: DataFrame, score: str = "score") -> DataFrame:
@@ -57,41 +58,44 @@ def _cell() -> Column:
     return F.when(near, F.col("key") - F.when(near, F.col("lo")).otherwise(F.col("key"))).otherwise(F.expr(f"(shiftright(key, 1) - shiftright(lo, 1)) div (({WAYS} + shiftright(hi, 1) - shiftright(lo, 1)) div {WAYS})"))
 
 
-def _cutoffs(rows: DataFrame, group: list[str], wanted: DataFrame) -> DataFrame:
+def _cutoffs(rows: DataFrame, group: list[str], heavy: DataFrame | None) -> DataFrame:
     """(group, cut, ties): records with key > cut stay; of those equal to cut, the first ``ties`` by identifier.
 
-    ``rows`` has (group, key, id), ``wanted`` (group, want) for groups of more than ``want`` rows, want >= 0.
-    Kept true in every pass: ``above`` records lie above hi, at most ``want``; more than ``want`` lie at or above lo.
+    ``rows`` has (group, key, id, lo, hi, want) of groups of more than ``want`` rows, want >= 0, lo and hi the bounds
+    of their keys. Kept true in every pass: ``above`` records lie above hi, at most ``want``; more than ``want`` lie
+    at or above lo.
     """
-    hot = F.broadcast(heavy_keys(rows, group, HOT_SHARE).withColumn("__hot", F.lit(True)))
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    salted = rows.join(hot, group, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    held = salted.repartition(int(parts), *group, "__salt").persist(StorageLevel.MEMORY_AND_DISK)
-    bounds = held.groupBy(*group).agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("__hot").alias("__hot"))
-    state = checkpointed(bounds.join(wanted, group).withColumn("above", F.lit(0).cast("long")))
     done: list[DataFrame] = []
+    inside = rows.withColumn("above", F.lit(0).cast("long"))
     while True:
+        cells = inside.groupBy(*group, _cell().alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("want").alias("want"), F.first("above").alias("above"))
+        # At most WAYS + 1 rows a group: the cell that holds the first record beyond the cap, and what lies above it.
+        upto = cells.withColumn("upto", F.col("above") + F.sum("n").over(Window.partitionBy(*group).orderBy(F.desc("cell"))))
+        crossing = upto.where((F.col("upto") > F.col("want")) & (F.col("upto") - F.col("n") <= F.col("want")))
+        state = checkpointed(crossing.select(*group, "lo", "hi", "want", (F.col("upto") - F.col("n")).alias("above")))
         met = F.col("want") == F.col("above")
         done.append(state.where("want = above OR lo = hi").select(*group, F.when(met, F.col("hi")).otherwise(F.col("lo")).alias("cut"), (F.col("want") - F.col("above")).alias("ties")))
         active = state.where("want > above AND lo < hi")
         if active.isEmpty():
             break
-        each = active.withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        inside = held.drop("__hot").join(each, [*group, "__salt"]).where(F.col("key").between(F.col("lo"), F.col("hi")))
-        cells = inside.groupBy(*group, _cell().alias("cell")).agg(
-            F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("want").alias("want"), F.first("above").alias("above"), F.first("__hot").alias("__hot")
-        )
-        # At most WAYS + 1 rows a group: the cell that holds the first record beyond the cap, and what lies above it.
-        upto = cells.withColumn("upto", F.col("above") + F.sum("n").over(Window.partitionBy(*group).orderBy(F.desc("cell"))))
-        crossing = upto.where((F.col("upto") > F.col("want")) & (F.col("upto") - F.col("n") <= F.col("want")))
-        state = checkpointed(crossing.select(*group, "lo", "hi", "__hot", "want", (F.col("upto") - F.col("n")).alias("above")))
-    held.unpersist()
+        inside = salted_join(rows.select(*group, "key", "id"), active, group, [F.col("id")], heavy=heavy).where(F.col("key").between(F.col("lo"), F.col("hi")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
+def with_share(rows: DataFrame, scope: list[str], share: float, cap: str = "cap") -> DataFrame:
+    """``rows`` with the limit that each contributor may hold ``share`` of the records of its scope, rounded down.
+
+    The records of a scope are counted before anything is dropped, as often as they are delivered.
+    """
+    if not 0 <= share <= 1:
+        raise ValueError("a share lies between 0 and 1")
+    sizes = rows.groupBy(*scope).agg(F.floor(F.count(F.lit(1)) * F.lit(share) + F.lit(1e-9)).cast("long").alias(cap))
+    return salted_join(rows.drop(cap), sizes, scope, [F.xxhash64(*[c for c in rows.columns if c != cap])])
+
+
 def over_cap(rows: DataFrame, group: list[str], cap: str, ident: str, score: str) -> DataFrame:
     """(group, ident): the records that must go.
 
@@ -101,16 +105,21 @@ def over_cap(rows: DataFrame, group: list[str], cap: str, ident: str, score: str
     clean = rows.where(sound).select(*group, F.col(ident).cast("long").alias("id"), F.col(cap).cast("long").alias("want"), F.col(score).cast("double").alias("score"))
     once = clean.groupBy(*group, "id").agg(F.max(F.when(~F.isnan("score"), F.col("score"))).alias("score"), F.min("want").alias("want"))
     base = checkpointed(ordered_key(once))
-    wanted = checkpointed(base.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.min("want"), F.lit(0)).alias("want")).where("n > want")).drop("n")
-    crowded = checkpointed(salted_join(base.drop("want"), wanted, group, [F.col("id")], "left_semi"))
-    first = checkpointed(_cutoffs(crowded, group, wanted))
-    tied = salted_join(crowded, first.where("ties > 0").select(*group, "cut", "ties"), group, [F.col("id")]).where("key = cut")
+    heavy = held_heavy_keys(base, group, HOT_SHARE)
+    sizes = base.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.min("want"), F.lit(0)).alias("want"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    crowded = checkpointed(salted_join(base.drop("want"), sizes.where("n > want").drop("n"), group, [F.col("id")], heavy=heavy))
+    first = _cutoffs(crowded, group, heavy)
+    cut = checkpointed(salted_join(crowded.drop("lo", "hi", "want"), first, group, [F.col("id")], heavy=heavy).where("key <= cut"))
     # Among ties the smallest identifiers stay, so the identifier bisection runs on their negatives.
-    ids = tied.select(*group, (-F.col("id")).alias("key"), "id")
-    tie_counts = tied.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("ties").alias("want")).where("n > want").drop("n")
-    second = _cutoffs(ids, group, checkpointed(tie_counts)).select(*group, F.col("cut").alias("id_cut"), F.col("ties").alias("id_ties"))
-    # Identifiers are unique in a group: a single one at the cut either fits (id_ties = 1) or not.
-    cuts = first.join(second, group, "left")
-    decided = salted_join(crowded, cuts, group, [F.col("id")])
-    keeps = (F.col("key") > F.col("cut")) | ((F.col("key") == F.col("cut")) & (F.col("ties") > 0) & (F.col("id_cut").isNull() | (-F.col("id") > F.col("id_cut")) | ((-F.col("id") == F.col("id_cut")) & (F.col("id_ties") > 0))))
-    return decided.where(~keeps).select(*group, F.col("id").alias(ident))
+    tied = cut.where("key = cut AND ties > 0")
+    ids = tied.select(*group, (-F.col("id")).alias("key"), "id", "ties")
+    bounds = ids.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("ties").alias("want"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    some = checkpointed(bounds.where("n > want").drop("n"))
+    gone = cut.where("key < cut OR ties = 0").select(*group, "id")
+    if not some.isEmpty():
+        open_ = checkpointed(salted_join(ids.drop("ties"), some, group, [F.col("id")], heavy=heavy))
+        second = _cutoffs(open_, group, heavy)
+        # Identifiers are unique in a group: a single one at the cut either fits (ties = 1) or not.
+        lost = salted_join(open_.drop("lo", "hi", "want"), second, group, [F.col("id")], heavy=heavy).where("key < cut OR (key = cut AND ties = 0)")
+        gone = gone.unionByName(lost.select(*group, "id"))
+    return gone.select(*group, F.col("id").alias(ident))
