@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklake.llm import capping, knn, lookalike, mixing, pairs, splitting, terms, tokens
 from tracklake.operators.skew import salted_join
-from tracklake.session import table
+from tracklake.session import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +55,7 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     caps = table(spark, sf_dir, "intents").where("max_per_artist IS NOT NULL").groupBy("query_id").agg(F.min("max_per_artist").alias("max_per_artist"))
     artists = table(spark, sf_dir, "tracks").where("artist_uri IS NOT NULL").groupBy("track_id").agg(F.min("artist_uri").alias("artist_uri"))
     fused = table(spark, sf_dir, "candidates").where("channel = 'fused'").groupBy("query_id", "track_id").agg(F.max("score").alias("score"))
-    capped = salted_join(fused, caps, ["query_id"], [F.col("track_id")])
+    capped = checkpointed(salted_join(checkpointed(fused), caps, ["query_id"], [F.col("track_id")]))
     return salted_join(capped, artists, ["track_id"], [F.col("query_id")])
 
 
@@ -84,6 +84,11 @@ def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical(_named(spark, sf_dir))
 
 
+def p5_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens and texts each step settles."""
+    return lookalike.steps(_named(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_ids(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -93,7 +98,8 @@ def _bags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    together = pairs.surprise(_bags(spark, sf_dir), min_count=5)
+    """Pairs of five pids or more and an NPMI of 0.75 or more; both limits are known to the operator before it enumerates pairs."""
+    together = pairs.surprise(_bags(spark, sf_dir), min_count=5, min_npmi=0.75)
     return together.where("npmi >= 0.75").select(F.col("item_a").alias("track_a"), F.col("item_b").alias("track_b"))
 
 
@@ -110,13 +116,9 @@ def p6_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact pair counts, of pairs in at least two playlists."""
-    return pairs.pair_counts(_bags(spark, sf_dir), 2).select(F.col("item_a").alias("track_a"), F.col("item_b").alias("track_b"), "n_ab")
-
-
-def p6_all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact counts of all pairs, those of a single playlist too."""
-    return pairs.pair_counts(_bags(spark, sf_dir)).select(F.col("item_a").alias("track_a"), F.col("item_b").alias("track_b"), "n_ab")
+    """Exact counts of all pairs, with how much more often than by chance they are."""
+    all_ = pairs.associations(_bags(spark, sf_dir))
+    return all_.select(F.col("item_a").alias("track_a"), F.col("item_b").alias("track_b"), "n_ab", "n_a", "n_b", F.round("npmi", 6).alias("npmi"))
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -142,12 +144,25 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that had to be cut: more than 512 tokens, so more than one piece."""
-    return p9_pieces(spark, sf_dir).where("piece = 0 AND doc_tokens > 512").select("doc_id")
+    """Documents that had to be cut: those with a second piece."""
+    return p9_pieces(spark, sf_dir).where("piece = 1").select("doc_id")
+
+
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces of every document: they cover it, keep to the limit and share 64 tokens at most."""
+    p = p9_pieces(spark, sf_dir)
+    w = Window.partitionBy("doc_id").orderBy("piece")
+    p = p.withColumn("before", F.lag("end").over(w))
+    shared = F.when(F.col("piece") > 0, F.expr("substring(text, 1, before - start)")).otherwise(F.lit(""))
+    sized = tokens.with_token_count(p.withColumn("shared", shared), "shared", "n_shared")
+    each = sized.select("doc_id", "piece", "start", "end", "n_tokens", "n_shared", (F.col("start") <= F.coalesce("before", F.lit(0))).alias("joined"))
+    return each.groupBy("doc_id").agg(
+        (F.max("end") - F.min("start")).cast("long").alias("n_chars"), (F.min("joined") & (F.min("start") == 0)).alias("covered"), (F.max("n_tokens") <= 512).alias("within_limit"), (F.max("n_shared") <= 64).alias("within_overlap")
+    )
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p3_found, p3_frequencies, p4_found, p4_kept, p5_found, p5_canonical, p6_found, p6_surprise, p6_counts, p6_all_counts, p7_ids, p8_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p2_recall, p3_found, p3_frequencies, p4_found, p4_kept, p5_found, p5_canonical, p5_steps, p6_found, p6_surprise, p6_counts, p7_ids, p8_found, p8_mixture, p8_shares, p9_found, p9_pieces, p9_checks)}
 
 
 FREQUENCIES = """
@@ -166,8 +181,11 @@ HELD = """
         counts AS (SELECT a.item AS track_a, b.item AS track_b, count(*) AS n_ab FROM held a JOIN held b ON a.pid = b.pid AND a.item < b.item GROUP BY 1, 2)"""
 
 SQL = {
-    "p6_counts": HELD + " SELECT track_a, track_b, n_ab FROM counts WHERE n_ab >= 2",
-    "p6_all_counts": HELD + " SELECT track_a, track_b, n_ab FROM counts",
+    "p9_checks": "SELECT doc_id, length(text) AS n_chars, true AS covered, true AS within_limit, true AS within_overlap FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text <> ''",
+    "p6_counts": HELD
+    + """, support AS (SELECT item, count(*) AS n FROM held GROUP BY item), total AS (SELECT count(*) AS n FROM baskets)
+        SELECT track_a, track_b, n_ab, a.n AS n_a, b.n AS n_b, round(CASE WHEN n_ab = total.n THEN 1e0 ELSE ln(n_ab * CAST(total.n AS DOUBLE) / (a.n * b.n)) / -ln(n_ab / CAST(total.n AS DOUBLE)) END, 6) AS npmi
+        FROM counts JOIN support a ON a.item = track_a JOIN support b ON b.item = track_b, total""",
     "p6_found": HELD
     + """, support AS (SELECT item, count(*) AS n FROM held GROUP BY item), total AS (SELECT count(*) AS n FROM baskets)
         SELECT track_a, track_b FROM counts JOIN support a ON a.item = track_a JOIN support b ON b.item = track_b, total
