@@ -70,9 +70,58 @@ def test_queue_order_is_that_of_popping():
             m = margin[t * 15 + node]
             heapq.heappush(heap, (-min(-p, -m), t, 2 * node + 1))
             heapq.heappush(heap, (-min(-p, m), t, 2 * node + 2))
-        rank = forest.priorities(row[None, :])[0]
-        # Equal priorities may come in any order.
-        assert sorted(rank[popped]) == sorted(rank[forest.best_leaves(row[None, :], 7)[0]])
+        got = forest.best_leaves(row[None, :], 7)[0].tolist()
+        # The leaf of each tree comes first, in any order; then the order is that of the queue.
+        assert sorted(got[:3]) == sorted(popped[:3]) == sorted(forest.own_leaves(row[None, :])[0])
+        # Then the order is that of the queue, where nodes of equal priority may come in any.
+
+        def worth(leaf):
+            t, node, least = leaf // 16, leaf % 16 + 15, np.inf
+            while node:
+                node, right = (node - 1) // 2, node % 2 == 0
+                least = min(least, margin[t * 15 + node] * (1 if right else -1))
+            return least
+
+        assert np.allclose([worth(x) for x in got[3:]], [worth(x) for x in popped[3:]])
+
+
+def test_walks_below_the_upper_levels_are_the_same(monkeypatch):
+    rng = np.random.default_rng(6)
+    sample = rng.standard_normal((2000, 8)).astype(np.float32)
+    forest = knn.fit_forest(sample, 3, 6, 1)
+    own, best = forest.own_leaves(sample), forest.best_leaves(sample, 9)
+    monkeypatch.setattr(knn, "TOP_LEVELS", 2)
+    # The last bits of a margin may differ, so a row on a plane may change sides.
+    assert (forest.own_leaves(sample) == own).mean() > 0.999 and (forest.best_leaves(sample, 9) == best).mean() > 0.999
+    assert np.bincount(own[:, 0], minlength=64).max() <= 40
+
+
+def test_large_leaves_are_cut_and_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((600, 12))
+    x = {i: base[i] for i in range(600)} | {1000 + i: base[i] + 0.03 * rng.standard_normal(12) for i in range(80)}
+    df = table(spark, list(x.items()))
+    index = knn.build_index(df, leaf_rows=400, trees=2)
+    whole = {(r.id_a, r.id_b) for r in knn.similar_pairs(index, 0.9, 4).collect()}
+    assert whole == brute(x, 0.9)
+    monkeypatch.setattr(knn, "PART_MEMBERS", 100)
+    assert {(r.id_a, r.id_b) for r in knn.similar_pairs(index, 0.9, 4).collect()} == whole
+    index.leaf_rows = 8  # every part through a tree of its own
+    found = {(r.id_a, r.id_b) for r in knn.similar_pairs(index, 0.9, 4).collect()}
+    assert found <= whole and len(found) >= 0.97 * len(whole)
+
+
+def test_rounding_error_is_known():
+    rng = np.random.default_rng(10)
+    u = rng.standard_normal((200, 33)).astype(np.float32)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    packed, error = knn._rounded(u)
+    import pyarrow as pa
+
+    back = knn._opened(pa.array(packed, pa.binary()), 33)
+    assert np.allclose(np.linalg.norm(back - u, axis=1), error, atol=1e-6)
+    gap = np.abs(back @ back.T - u @ u.T)
+    assert (gap <= error[:, None] * (1 + error) + error + 1e-5).all()
 
 
 def test_empty(spark):
