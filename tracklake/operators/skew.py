@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,3 +106,23 @@ def against_all(queries: DataFrame, rows: DataFrame, run: Callable[[pa.Table, It
 
     a, b = placed(queries, "__block", blocks, "__part", parts), placed(rows, "__part", parts, "__block", blocks)
     return a.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInArrow(one, schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, of ``least`` rows or more but for the last; the rows of a group lie next to one another."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= least:
+            t = pa.Table.from_batches(held)
+            same = pc.equal(t[key], t[key][-1]).combine_chunks().to_numpy(zero_copy_only=False)
+            end = len(t) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if end:
+                yield t.slice(0, end)
+                held, size = t.slice(end).to_batches(), len(t) - end
+    if size:
+        yield pa.Table.from_batches(held)

@@ -100,22 +100,11 @@ def artist_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.genre_sets(tracks(spark, sf_dir).where("artist_uri IS NOT NULL"), "artist_uri")
 
 
-@query(f"""WITH {q.TRACKS}, a AS (SELECT track_id, energy, tempo FROM t WHERE has_audio AND track_id % 3 <> 0), s AS (SELECT track_id, energy, tempo, valence, explicit, genre FROM t WHERE explicit_known)
-    SELECT a.track_id, coalesce(a.energy, s.energy) AS energy, coalesce(a.tempo, s.tempo) AS tempo, s.valence, coalesce(s.explicit, false) AS explicit, s.track_id IS NOT NULL AND s.explicit IS NOT NULL AS explicit_known, s.genre
-    FROM a LEFT JOIN s USING (track_id)""")
-def merged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two feature sources in one: a wide one without labels and a smaller one with them."""
-    t = tracks(spark, sf_dir)
-    wide = t.where("has_audio AND track_id % 3 <> 0").select("track_id", "energy", "tempo")
-    labelled = t.where("explicit_known").select("track_id", "energy", "tempo", "valence", "explicit", "genre")
-    return b.merged_features(wide, labelled, "track_id", ["energy", "tempo", "valence"])
-
-
 @query(f"""WITH {q.TRACKS}, a AS (SELECT track_id, energy, tempo FROM t WHERE has_audio), s AS (SELECT track_id, energy, tempo, valence, explicit, genre FROM t WHERE explicit_known)
     SELECT a.track_id, coalesce(a.energy, s.energy) AS energy, coalesce(a.tempo, s.tempo) AS tempo, s.valence, coalesce(s.explicit, false) AS explicit, s.track_id IS NOT NULL AND s.explicit IS NOT NULL AS explicit_known, s.genre
     FROM a LEFT JOIN s USING (track_id)""")
-def merged_features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As merged_features, with every track that has audio in the wide source."""
+def merged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two feature sources in one: a wide one without labels (every track with audio) and one with labels (where they are known)."""
     t = tracks(spark, sf_dir)
     wide = t.where("has_audio").select("track_id", "energy", "tempo")
     labelled = t.where("explicit_known").select("track_id", "energy", "tempo", "valence", "explicit", "genre")
@@ -188,15 +177,8 @@ def key_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks(spark, sf_dir).select("track_id", sd.one_hot_key(F.col("key")).alias("one_hot"))
 
 
-@query(f"WITH {q.TRACKS}, {q.INTENTS} SELECT track_uri, string_split(track_uri, ':')[-1] AS tail, name, CASE WHEN isnan(energy) THEN NULL ELSE energy END AS energy FROM t WHERE track_id IN (SELECT DISTINCT seed FROM (SELECT unnest(seed_tracks) AS seed FROM challenges WHERE query_id <= 10))")
-def track_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Point lookups of the seeds of the first ten queries."""
-    wanted = table(spark, sf_dir, "challenges").where("query_id <= 10").select(F.explode("seed_tracks").alias("track_id")).distinct()
-    return tracks(spark, sf_dir).join(wanted, "track_id", "left_semi").select("track_uri", tx.uri_tail(F.col("track_uri")).alias("tail"), "name", F.nanvl("energy", F.lit(None)).alias("energy"))
-
-
 @query(f"WITH {q.TRACKS} SELECT track_uri, string_split(track_uri, ':')[-1] AS tail, name, CASE WHEN isnan(energy) THEN NULL ELSE energy END AS energy FROM t WHERE track_id IN (SELECT unnest(seed_tracks) FROM challenges)")
-def track_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def track_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point lookups of the seeds of all queries."""
     wanted = table(spark, sf_dir, "challenges").select(F.explode("seed_tracks").alias("track_id")).distinct()
     return tracks(spark, sf_dir).join(wanted, "track_id", "left_semi").select("track_uri", tx.uri_tail(F.col("track_uri")).alias("tail"), "name", F.nanvl("energy", F.lit(None)).alias("energy"))

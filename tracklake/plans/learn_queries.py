@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tracklake.operators import build as b
 from tracklake.operators import loop as lp
 from tracklake.operators import model as md
-from tracklake.operators.retrieve import tag_space
+from tracklake.operators.retrieve import cooccurrence, exact_tags, fuse, tag_space
 from tracklake.plans import sql as q
 from tracklake.plans.build_queries import TAGS, inter, tags, tracks
 from tracklake.plans.metric_queries import FUSED, TRUTH, fused, truth
 from tracklake.plans.registry import query
-from tracklake.plans.retrieve_queries import candidates, challenges, query_tags, seeds
+from tracklake.plans.retrieve_queries import candidates, challenges, query_tags, seeds, titled
+from tracklake.session import checkpointed
 
 
 def _sppmi(cells: str, row: str, col: str, value: str, shift: float, damp: str) -> str:
@@ -87,8 +88,6 @@ def rerank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def reranker_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees over the features, held against ranking by the fused score."""
-    from tracklake.session import checkpointed
-
     f = checkpointed(features(spark, sf_dir))
     columns = [c for c in f.columns if c not in ("query_id", "track_id", "label")]
     _, got, uplift = md.train_reranker(f.fillna(0.0), columns)
@@ -113,17 +112,8 @@ def cold_freeze_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lp.frozen(inter(spark, sf_dir), cold).groupBy("playlist_id").agg(F.count(F.lit(1)).alias("n_tracks"), F.sum("track_id").alias("track_sum"))
 
 
-@query(f"WITH {q.VECTORS}, a AS (SELECT entity_id, v FROM vec WHERE space = 'collab' AND v IS NOT NULL), n AS (SELECT entity_id, v FROM vec WHERE space = 'tag_tracks' AND v IS NOT NULL AND entity_id % 10 = 0) SELECT entity_id, len(coalesce(n.v, a.v)) AS dim, round(list_sum(coalesce(n.v, a.v)), 6) AS total FROM a FULL JOIN n USING (entity_id)")
-def cold_graft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of one space with a tenth of them replaced from another."""
-    from tracklake.plans.retrieve_queries import vectors
-
-    g = lp.grafted(vectors(spark, sf_dir, "collab"), vectors(spark, sf_dir, "tag_tracks").where("entity_id % 10 = 0"))
-    return g.select("entity_id", F.size("v").cast("long").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
-
-
 @query(f"WITH {q.VECTORS}, {q.TRACKS}, {_COLD}, a AS (SELECT entity_id, v FROM vec WHERE space = 'collab' AND v IS NOT NULL), n AS (SELECT entity_id, v FROM vec WHERE space = 'tag_tracks' AND v IS NOT NULL AND entity_id IN (SELECT track_id FROM cold)) SELECT entity_id, len(coalesce(n.v, a.v)) AS dim, round(list_sum(coalesce(n.v, a.v)), 6) AS total FROM a FULL JOIN n USING (entity_id)")
-def cold_graft_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cold_graft(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one space, those of every cold track replaced from another."""
     from tracklake.plans.retrieve_queries import vectors
 
@@ -148,7 +138,7 @@ def loop_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loop_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Track weights after one round is folded back in."""
     start = inter(spark, sf_dir).select("playlist_id", "track_id", F.lit(1.0).alias("weight"))
-    grown = lp.appended(start, loop_acceptance(spark, sf_dir), 25.0, 10_000_000)
+    grown = lp.appended(start, loop_acceptance(spark, sf_dir), 25.0)
     return grown.groupBy("track_id").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 
@@ -158,7 +148,32 @@ def loop_organic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lp.organic(tracks(spark, sf_dir), challenges(spark, sf_dir), 20)
 
 
+LOOP_QUERIES = 150
+
+
 @query()
 def loop_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exposure over two rounds of each arm."""
-    return lp.run(inter(spark, sf_dir), tracks(spark, sf_dir), seeds(spark, sf_dir), rounds=1)
+    """Exposure over seven rounds of each arm, refitted on the grown corpus after every round.
+
+    As in any round of the study, 150 titles ask (chosen by hash); each is ranked by its tags, exactly and in the
+    refitted tag space, and by the neighbourhood of its seeds in the grown interactions.
+    """
+    asked = b.hash_sample(titled(spark, sf_dir), "query_id", LOOP_QUERIES, "loop queries").select("query_id")
+    asked = checkpointed(asked)
+    qt = checkpointed(query_tags(spark, sf_dir).join(asked, "query_id", "left_semi"))
+    sd = checkpointed(seeds(spark, sf_dir).join(asked, "query_id", "left_semi"))
+
+    def refit(state: lp.State) -> lp.Ranker:
+        space = md.factorize(md.sppmi(state.tags, "track_id", "tag", "n", 2.0), "track_id", "tag", 64)
+        cols = checkpointed(space.cols.withColumnRenamed("f", "v"))
+        rows = checkpointed(space.rows.select(F.col("track_id").alias("entity_id"), F.col("f").alias("v")))
+
+        def rank(state: lp.State, queries: DataFrame, k: int) -> DataFrame:
+            support = state.inter.groupBy("track_id").agg(F.sum("weight").alias("support"))
+            found = tag_space(qt, cols, rows, k).unionByName(exact_tags(qt, state.tags, k)).unionByName(cooccurrence(sd, state.inter, support, k))
+            return fuse(checkpointed(found), k)
+
+        return rank
+
+    start = lp.State(inter(spark, sf_dir).select("playlist_id", "track_id", F.lit(1.0).alias("weight")), tags(spark, sf_dir))
+    return lp.run(start, tracks(spark, sf_dir), asked, qt, refit)

@@ -31,13 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` with its lineage cut through the folder in ``spark.checkpoint.dir``.
 
-    The folder the cluster names is used as it is; only where none is set (tests, local runs)
-    is a temporary one made. Checkpoint files live in shared storage, so losing an executor
-    loses nothing.
+    The folder the cluster names is used as it is; only where none is set and the master is local (tests, local
+    runs) is a temporary one made. Checkpoint files live in shared storage, so losing an executor
+    loses nothing; on a cluster without such a folder this is refused.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracklake-ckpt-"))
     return df.checkpoint(eager=eager)
 
