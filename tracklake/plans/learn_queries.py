@@ -60,7 +60,9 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = fused(spark, sf_dir).select("query_id", "track_id", "score")
     t = tracks(spark, sf_dir).select("track_id", F.log1p(F.coalesce("n_playlists", F.lit(0))).alias("log_popularity"), F.col("has_audio").cast("int").alias("has_audio"), F.col("tempo").isNotNull().cast("int").alias("tempo_known"), (F.col("duration_ms") / 1000).alias("duration_s"))
     qt = query_tags(spark, sf_dir)
-    hits = qt.join(tags(spark, sf_dir), "tag").groupBy("query_id", "track_id").agg(F.count(F.lit(1)).alias("tag_hits"), F.log1p(F.sum("n")).alias("log_tag_mass"))
+    # Tags are looked up for the candidates only: all tracks of all asked tags would be far more rows.
+    told = base.select("query_id", "track_id").join(qt, "query_id")
+    hits = told.join(tags(spark, sf_dir), ["track_id", "tag"]).groupBy("query_id", "track_id").agg(F.count(F.lit(1)).alias("tag_hits"), F.log1p(F.sum("n")).alias("log_tag_mass"))
     facts = challenges(spark, sf_dir).select("query_id", F.size("seed_tracks").alias("n_seeds")).join(qt.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_tag_cols")), "query_id", "left")
     label = truth(spark, sf_dir).distinct().withColumn("label", F.lit(1))
     j = base.join(per, ["query_id", "track_id"], "left").join(t, "track_id", "left").join(hits, ["query_id", "track_id"], "left").join(facts, "query_id", "left").join(label, ["query_id", "track_id"], "left")
