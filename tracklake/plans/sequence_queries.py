@@ -17,7 +17,7 @@ from tracklake.plans.build_queries import TAGS, tags, tracks
 from tracklake.plans.metric_queries import CUT, FUSED, bundle, fused
 from tracklake.plans.registry import query
 from tracklake.plans.retrieve_queries import TARGETS, UNITS, candidates, challenges, mood_targets, query_tags, vectors
-from tracklake.session import table
+from tracklake.session import checkpointed, table
 
 
 def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +87,8 @@ def continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     split = sq.prefixes(sequences(spark, sf_dir), 5).withColumnRenamed("pid", "query_id")
     seeds = split.select("query_id", F.posexplode("seeds").alias("place", "track_id"))
-    v = vectors(spark, sf_dir, "collab")
-    u = units(spark, sf_dir).withColumnRenamed("u", "v")
+    v = checkpointed(vectors(spark, sf_dir, "collab"))
+    u = v.select(F.col("entity_id").alias("track_id"), sd.unit(F.col("v")).alias("v")).where("v IS NOT NULL")
     from tracklake.operators.retrieve import seed_centroids
 
     truth = split.select("query_id", F.explode("held_out").alias("track_id"))
