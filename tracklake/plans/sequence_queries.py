@@ -70,12 +70,12 @@ def ordered_prefix_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge from ordered prefixes to what follows, against the same prefixes with their order destroyed."""
     from tracklake.operators.model import fit_ridge
 
-    s, u = sequences(spark, sf_dir), units(spark, sf_dir)
+    s, u = checkpointed(sequences(spark, sf_dir)), checkpointed(units(spark, sf_dir))
     out = []
     for name, seq in (("ordered", s), ("shuffled", sq.shuffled(s))):
-        rows = sq.examples(seq, u, 3, 3)
+        # Split by list before vectors are joined, else both parts shuffle the vectors of all lists.
         held = F.pmod(F.xxhash64("pid"), F.lit(20)) == 0
-        model = fit_ridge(rows.where(~held), rows.where(held), "x", "y")
+        model = fit_ridge(sq.examples(seq.where(~held), u, 3, 3), sq.examples(seq.where(held), u, 3, 3), "x", "y")
         out.append((name, float(model.alpha), round(float(model.cosine), 4), model.beta.shape[0]))
     return spark.createDataFrame(out, "system string, alpha double, cosine double, n_features int")
 
