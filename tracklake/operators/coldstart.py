@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.functions import sound as sd
-from tracklake.operators.metrics import scored
 from tracklake.operators.model import Ridge, fit_ridge, standardized
-from tracklake.operators.retrieve import dense, ranked_dense
-from tracklake.session import checkpointed
+from tracklake.operators.retrieve import dense
+from tracklake.session import checkpointed, released
 
 
 def usable(tracks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -45,11 +44,16 @@ def recall(queries: DataFrame, truth: DataFrame, systems: dict[str, DataFrame],
 
     ``queries`` is (query_id, v); each system is (entity_id, v) of the cold tracks.
     """
+    asked = checkpointed(queries.select("query_id", "v"))
+    truth = checkpointed(truth.select("query_id", "track_id"))
+    released(asked.sparkSession)
+    size = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("g")).join(asked.select("query_id"), "query_id", "left_semi")
     out = None
     for name, vectors in systems.items():
-        found = ranked_dense(dense(queries, vectors, k), name, k)
-        size = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("g"))
-        hits = scored(found.select("query_id", "track_id", "rank"), truth).groupBy("query_id").agg(F.sum("hit").alias("h"))
-        one = size.join(queries.select("query_id"), "query_id", "left_semi").join(hits, "query_id", "left").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("h", F.lit(0)) / F.col("g")).alias("recall")).withColumn("system", F.lit(name))
+        # Lists stay in the tasks: only their hits are shuffled. Each system is done before the next begins.
+        hits = dense(asked, vectors, k, wanted=truth).groupBy("query_id").agg(F.count(F.lit(1)).alias("h"))
+        one = checkpointed(size.join(hits, "query_id", "left").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("h", F.lit(0)) / F.col("g")).alias("recall")).withColumn("system", F.lit(name)))
         out = one if out is None else out.unionByName(one)
+        del hits, one
+        released(asked.sparkSession)
     return out.select("system", "n", F.round("recall", 6).alias("recall"))

@@ -17,6 +17,7 @@ from tracklake.plans.metric_queries import CUT, DEPTH, FACTS, FUSED, TRUTH, fuse
 from tracklake.plans.registry import query
 from tracklake.plans.retrieve_queries import TARGETS, candidates, challenges, mood_targets, seeds, vectors
 from tracklake.plans.sequence_queries import SHOWN, lists
+from tracklake.session import checkpointed, released
 
 
 @query(f"""WITH {TRUTH}, {q.CANDIDATES}, o AS (SELECT channel, query_id, track_id, row_number() OVER (PARTITION BY channel, query_id ORDER BY rank, track_id) - 1 AS r FROM cand WHERE rank IS NOT NULL),
@@ -87,13 +88,18 @@ def cold_start_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of cold tracks by their true vectors, by vectors predicted from sound, and by chance."""
     t = tracks(spark, sf_dir)
     v = vectors(spark, sf_dir, "collab")
-    cold = t.where(F.pmod(F.xxhash64("track_id"), F.lit(5)) == 0).select("track_id")
+    is_cold = lambda x: F.pmod(F.xxhash64(x), F.lit(5)) == 0
+    cold = t.where(is_cold(F.col("track_id"))).select("track_id")
     _, content = cs.fit(t, v.withColumnRenamed("entity_id", "track_id"), cold)
-    oracle = v.join(cold.withColumnRenamed("track_id", "entity_id"), "entity_id", "left_semi")
+    # The rule of cold tracks is put to the vectors, too, so that only theirs are joined.
+    oracle = v.where(is_cold(F.col("entity_id").cast(t.schema["track_id"].dataType))).join(cold.withColumnRenamed("track_id", "entity_id"), "entity_id", "left_semi")
     dim = v.select(F.size("v")).first()[0]
     chance = cold.select(F.col("track_id").alias("entity_id"), F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: uniform(F.col("track_id"), i, seed="chance") - 0.5).alias("v"))
-    asked = r.seed_centroids(seeds(spark, sf_dir).join(cold, "track_id", "left_anti"), v)
-    wanted = truth(spark, sf_dir).distinct().join(cold, "track_id", "left_semi")
+    # Recall counts the queries that withhold a cold track, so only their seeds are summed.
+    wanted = checkpointed(truth(spark, sf_dir).distinct().join(cold, "track_id", "left_semi").select("query_id", "track_id"))
+    released(spark)
+    own = seeds(spark, sf_dir).join(cold, "track_id", "left_anti").join(wanted.select("query_id").distinct(), "query_id", "left_semi")
+    asked = r.seed_centroids(own, v)
     return cs.recall(asked, wanted, {"oracle": oracle, "content_ridge": content, "random": chance})
 
 

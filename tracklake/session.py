@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -44,6 +45,15 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets shuffle, broadcast and checkpoint files that nothing refers to any more be deleted now.
+
+    Spark deletes them when the driver collects its garbage, which may be after a long job has filled the disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, so that their Python workers can import it.
 
