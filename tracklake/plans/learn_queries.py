@@ -82,7 +82,7 @@ def features(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) ->
         # A rank is null exactly when the channel did not find the track; ``present`` says so.
         each += [F.log1p(r).alias(f"{ch}_rank"), F.coalesce(f"{ch}_score", F.lit(0.0)).alias(f"{ch}_score"), r.isNotNull().cast("int").alias(f"{ch}_present")]
     zero = [F.coalesce(x, F.lit(0)).alias(x) for x in ("tag_hits", "n_seeds", "n_tag_cols", "label")]
-    return j.select("query_id", "track_id", "score", *each, "log_popularity", "has_audio", "tempo_known", "duration_s", F.coalesce("log_tag_mass", F.lit(0.0)).alias("log_tag_mass"), *zero)
+    return j.select("query_id", "track_id", "score", *each, F.coalesce("log_popularity", F.lit(0.0)).alias("log_popularity"), "has_audio", F.coalesce("tempo_known", F.lit(0)).alias("tempo_known"), "duration_s", F.coalesce("log_tag_mass", F.lit(0.0)).alias("log_tag_mass"), *zero)
 
 
 @query(f"""WITH {TAGS}, {TRUTH}, {FUSED}, {q.TRACKS}, {q.tokens("ch", "query_id", "title", name="asked")}, qt AS (SELECT key AS query_id, token AS tag FROM asked WHERE token IN (SELECT token FROM vocab)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklake.operators import audit as a
@@ -23,9 +23,10 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, track_id, rank, score) of the fused lists, in order of score."""
+    """(query_id, track_id, rank, score) of the fused lists, whole, in order of score."""
     c = candidates(spark, sf_dir).where("channel = 'fused'").select("query_id", "track_id", "score")
-    return top_per(c, ["query_id"], [F.desc("score"), F.col("track_id")], 1500)
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("track_id")))
+    return c.select("query_id", "track_id", "score", (r - 1).alias("rank"))
 
 
 TRUTH = f"{q.CHALLENGES}, tr AS (SELECT DISTINCT query_id, unnest(held_out) AS track_id FROM ch), ntr AS (SELECT query_id, count(*) AS g FROM tr GROUP BY 1)"
