@@ -68,8 +68,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length 1; null for a null or all-zero vector."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n))
+    # As a list of one, the length is worked out once, not again for each number.
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n))), F.lit(0))
 
 
 def one_hot_key(key: Column) -> Column:

@@ -11,13 +11,13 @@ from tracklake.operators import assemble as asm
 from tracklake.operators import build as b
 from tracklake.operators import explain as ex
 from tracklake.operators import sequence as sq
-from tracklake.operators.retrieve import dense, ranked_dense, not_seeds, top_per
+from tracklake.operators.retrieve import dense, not_seeds, top_per
 from tracklake.plans import sql as q
 from tracklake.plans.build_queries import TAGS, tags, tracks
 from tracklake.plans.metric_queries import CUT, FUSED, bundle, fused
 from tracklake.plans.registry import query
 from tracklake.plans.retrieve_queries import TARGETS, UNITS, candidates, challenges, mood_targets, query_tags, vectors
-from tracklake.session import checkpointed, table
+from tracklake.session import checkpointed, released, table
 
 
 def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,17 +88,19 @@ def continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = sq.prefixes(sequences(spark, sf_dir), 5).withColumnRenamed("pid", "query_id")
     seeds = split.select("query_id", F.posexplode("seeds").alias("place", "track_id"))
     v = checkpointed(vectors(spark, sf_dir, "collab"))
-    u = v.select(F.col("entity_id").alias("track_id"), sd.unit(F.col("v")).alias("v")).where("v IS NOT NULL")
-    from tracklake.operators.retrieve import seed_centroids
-
     truth = split.select("query_id", F.explode("held_out").alias("track_id"))
     out = None
-    for name, asked in (("centroid", seed_centroids(seeds, v)), ("last", seeds.where("place = 4").join(u, "track_id").select("query_id", "v"))):
+    for name, of in (("centroid", F.col("seeds")), ("last", F.slice("seeds", 5, 1))):
+        asked = split.select("query_id", of.alias("of"))
         # Hits and their ranks are all that these two metrics ask for.
         found = dense(asked, v, 100, own=seeds, wanted=truth)
         per = metrics(found.select("query_id", "track_id", "rank"), truth, tracks(spark, sf_dir))
         one = per.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r_precision"), 4).alias("r_precision"), F.round(F.avg("clicks"), 3).alias("clicks")).withColumn("system", F.lit(name))
+        # Each system is done, and its vectors in the tasks are gone, before the next begins.
+        one = checkpointed(one)
         out = one if out is None else out.unionByName(one)
+        del found, per
+        released(spark)
     return out
 
 
